@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.io import table, texts
-from corpusmill.llm import bpe, leakage, split
+from corpusmill.llm import bpe, leakage, neardup, split
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,14 @@ def p4_sublists(spark: SparkSession, d: str) -> DataFrame:
     return lists.where("size(sublists) > 1").select("attempt_id", F.posexplode("sublists").alias("pos", "block_ids"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(texts(spark, d, "graded_units"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(texts(spark, d, "graded_units"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(texts(spark, d, "documents"))
 
@@ -43,7 +51,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("case_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("share").alias("share"))
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_pieces, p4_sublists, p6_ids, p7_found, p7_items)}
+QUERIES = {q.__name__: q for q in (p4_found, p4_pieces, p4_sublists, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
 
 SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 ORACLES = {
