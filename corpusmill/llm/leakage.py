@@ -63,7 +63,7 @@ class Passages:
     owner: list[np.ndarray]  # the passage of each key
     run: list[int]
     words: list[int]
-    gram: list[np.ndarray]
+    gram: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by run: sorted values, their passages and offsets
 
     @classmethod
     def build(cls, rows: list[tuple[str, str]]) -> Passages:
@@ -74,7 +74,8 @@ class Passages:
             words = ids.of(passage)
             by[words.tobytes()].append(case)
             text[words.tobytes()] = (words, passage)
-        out = cls([], [], [], [], [], [])
+        out = cls([], [], [], [], [], {})
+        all_words: list[np.ndarray] = []
         for k in sorted(by):
             words, passage = text[k]
             n = len(words)
@@ -84,10 +85,15 @@ class Passages:
             out.cases.append(sorted(set(by[k])))
             out.run.append(run)
             out.words.append(n)
-            out.gram.append(grams(words, run))
-            out.key.append(words)
-        all_words = out.key
-        out.key = []
+            all_words.append(words)
+        for run in (RUN, RUN_HAN):
+            mine = [p for p, r in enumerate(out.run) if r == run]
+            values = [grams(all_words[p], run) for p in mine]
+            flat = np.concatenate([np.empty(0, np.uint64), *values])
+            owner = np.repeat(np.array(mine, np.int64), [len(v) for v in values])
+            at = np.concatenate([np.empty(0, np.int64), *(np.arange(len(v)) for v in values)])
+            order = np.argsort(flat, kind="stable")
+            out.gram[run] = (flat[order], owner[order], at[order])
         for repeat in range(REPEATS):
             key = [keys(w, np.arange(len(w) - WINDOW + 1), repeat) for w in all_words]
             owner = np.repeat(np.arange(len(key)), [len(x) for x in key])
@@ -97,13 +103,22 @@ class Passages:
             out.owner.append(owner[order])
         return out
 
-    def share(self, passage: int, doc_grams: np.ndarray) -> float:
-        """Of the passage's words the share that stands in the document in runs (exact)."""
-        hit = np.flatnonzero(np.isin(self.gram[passage], doc_grams))
-        covered = np.zeros(self.words[passage] + 1, np.int64)
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + self.run[passage], -1)
-        return float((np.cumsum(covered[:-1]) > 0).sum() / self.words[passage])
+    def shares(self, words: np.ndarray, candidates: set[int]) -> Iterator[tuple[int, float]]:
+        """Of each candidate's words the share that stands in the document in runs (exact)."""
+        for run in {self.run[p] for p in candidates}:
+            sought, owner, at = self.gram[run]
+            values = np.unique(grams(words, run))
+            left, right = np.searchsorted(sought, values, "left"), np.searchsorted(sought, values, "right")
+            hits = [np.arange(a, b) for a, b in zip(left.tolist(), right.tolist()) if b > a]
+            if not hits:
+                continue
+            hit = np.concatenate(hits)
+            for p in set(owner[hit].tolist()) & candidates:
+                begin = at[hit[owner[hit] == p]]
+                edges = np.zeros(self.words[p] + 1, np.int64)
+                np.add.at(edges, begin, 1)
+                np.add.at(edges, begin + run, -1)
+                yield p, float((np.cumsum(edges[:-1]) > 0).sum() / self.words[p])
 
 
 def _search(index, share: float):
@@ -117,21 +132,17 @@ def _search(index, share: float):
             ends = np.cumsum([len(x) for x in texts])
             begins = [np.arange(e - len(x), e - WINDOW + 1, STRIDE) for x, e in zip(texts, ends)]
             starts = np.concatenate([np.empty(0, np.int64), *begins])
-            pairs = set()
+            candidates: dict[int, set[int]] = defaultdict(set)
             for repeat in range(REPEATS):
                 key, sought = keys(flat, starts, repeat), passages.key[repeat]
                 left, right = np.searchsorted(sought, key, "left"), np.searchsorted(sought, key, "right")
                 for w in np.flatnonzero(right > left):
                     doc = int(np.searchsorted(ends, starts[w], "right"))
-                    pairs.update((doc, int(p)) for p in passages.owner[repeat][left[w] : right[w]])
-            known: dict[tuple[int, int], np.ndarray] = {}
-            for doc, p in sorted(pairs):
-                length = passages.run[p]
-                if (doc, length) not in known:
-                    known[doc, length] = grams(texts[doc], length)
-                part = passages.share(p, known[doc, length])
-                if part >= share:
-                    rows += [(doc_ids[doc], case, part) for case in passages.cases[p]]
+                    candidates[doc].update(passages.owner[repeat][left[w] : right[w]].tolist())
+            for doc, some in candidates.items():
+                for p, part in passages.shares(texts[doc], some):
+                    if part >= share:
+                        rows += [(doc_ids[doc], case, part) for case in passages.cases[p]]
             cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())],

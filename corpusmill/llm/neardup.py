@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.clean import clean_id
 from corpusmill.io import Stages
-from corpusmill.llm.words import WordIds, grams, mix
+from corpusmill.llm.words import WordIds, grams, mix, text_value
 from corpusmill.operators.hierarchy import connected_components
 
 #: Words of a sequence, the least words of a body, and the least share of common sequences.
@@ -32,14 +32,16 @@ BROADCAST_ROWS = 200_000
 FEATURES = "id string, revision bigint, class bigint, bands array<bigint>, sketch binary"
 
 
+_RANDOM = np.random.default_rng(5)
+_FACTOR = _RANDOM.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SUMMAND = _RANDOM.integers(0, 1 << 63, BITS, dtype=np.uint64)
+
+
 def minima(sequences: np.ndarray) -> np.ndarray:
     """The least value of BITS random functions over the sequences."""
-    rng = np.random.default_rng(5)
-    a = rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
     out = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(sequences), 2048):
-        out = np.minimum(out, (sequences[i : i + 2048, None] * a + b).min(axis=0))
+    for i in range(0, len(sequences), 256):
+        out = np.minimum(out, (sequences[i : i + 256, None] * _FACTOR + _SUMMAND).min(axis=0))
     return out
 
 
@@ -58,7 +60,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 key = mix(key * golden + least[r * BANDS : (r + 1) * BANDS])
             sketch = np.packbits((mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little")
-            rows.append((int(grams(ids, len(ids)).view(np.int64)[0]), key.view(np.int64).tolist(), sketch.tobytes()))
+            rows.append((text_value(ids), key.view(np.int64).tolist(), sketch.tobytes()))
         cols = list(zip(*rows)) or [[], [], []]
         yield pa.RecordBatch.from_arrays(
             [
@@ -79,7 +81,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, lists = [], []
         for c, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = words.of(body) if body else ()
-            if len(ids) >= LEAST_WORDS and int(grams(ids, len(ids)).view(np.int64)[0]) == c:
+            if len(ids) >= LEAST_WORDS and text_value(ids) == c:
                 classes.append(c)
                 lists.append(np.unique(grams(ids, GRAM)).view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays(

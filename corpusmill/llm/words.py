@@ -39,10 +39,22 @@ class WordIds(dict):
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit values of all runs of n words, in order."""
+    """64-bit values of all runs of n words, in order; runs are put together from runs of half their length."""
     if len(ids) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k])
+    golden = np.uint64(0x9E3779B97F4A7C15)
+    out, have = mix(ids), 1
+    for digit in bin(n)[3:]:
+        out = mix(out[:-have] * golden + out[have:])
+        have *= 2
+        if digit == "1":
+            out = mix(out[:-1] * golden + ids[have:])
+            have += 1
     return out
+
+
+def text_value(ids: np.ndarray) -> int:
+    """A signed 64-bit value of a whole sequence of words."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(ids.tobytes())).view(np.int64))
