@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.io import table, texts
-from corpusmill.llm import bpe, leakage, neardup, split
+from corpusmill.llm import bpe, leakage, neardup, reading, split
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,17 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("case_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("share").alias("share"))
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_pieces, p4_sublists, p5_found, p5_groups, p6_ids, p7_found, p7_items)}
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(
+        texts(spark, d, "documents"), table(spark, d, "reading_labels"), table(spark, d, "eval_items")
+    )
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).where("reading_level = 'expert'").select("doc_id")
+
+
+QUERIES = {q.__name__: q for q in (p4_found, p4_pieces, p4_sublists, p5_found, p5_groups, p6_ids, p7_found, p7_items, p8_levels, p8_found)}
 
 SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 ORACLES = {
