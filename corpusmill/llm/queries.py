@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.io import table, texts
-from corpusmill.llm import bpe, leakage, neardup, reading, split
+from corpusmill.llm import bpe, leakage, neardup, pii, reading, split
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = pii.personal_spans(pii.text_parts(spark, d))
+    return spans.select("record_table", "record_id", F.col("kind").alias("pii_kind"), F.col("value").alias("pii_value")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    parts = pii.text_parts(spark, d)
+    return pii.redacted(parts, pii.personal_spans(parts))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +71,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).where("reading_level = 'expert'").select("doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_pieces, p4_sublists, p5_found, p5_groups, p6_ids, p7_found, p7_items, p8_levels, p8_found)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_redacted, p4_found, p4_pieces, p4_sublists, p5_found, p5_groups, p6_ids, p7_found, p7_items, p8_levels, p8_found)}
 
 SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 ORACLES = {
