@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.io import Stages
-from corpusmill.llm.words import HAN, WordIds, text_value
+from corpusmill.llm.words import mix
 
 # The levels in order, and the function words that mark a language, link clauses or subordinate them.
 LEVELS = ["basic", "intermediate", "advanced", "expert"]
@@ -24,7 +26,9 @@ CONNECTIVES = set(
     weil obwohl während sodass daher somit sofern insofern ungeachtet gleichwohl wodurch wonach dass ob wenn sobald falls
     bevor nachdem bis und aber oder deren dessen""".split()
 )
-HAN_CONNECTIVES = re.compile("因为|所以|虽然|尽管|除非|否则|由于|倘若|倘使|然而|唯当|方可|由是|就|而言|从而|并|则|之|若|故|如果|只有|才|先|再|然后|最后|当")
+HAN_CONNECTIVES = set(
+    "因为 所以 虽然 尽管 除非 否则 由于 倘若 倘使 然而 唯当 方可 由是 而言 从而 如果 只有 然后 最后 就 并 则 之 若 故 才 先 再 当".split()
+)
 
 #: Buckets of the hashed document frequencies: their size does not grow with the corpus.
 BUCKETS = 1 << 18
@@ -34,66 +38,120 @@ RIDGE, SHARED_RIDGE, STEPS = 0.02, 0.002, 1500
 #: Standardised features count up to so many deviations from the mean.
 CLIP = 3.0
 
-FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-ASIDE = re.compile(r"^\s*(?:#{1,6}\s|>|\||[-=_*]{3,}\s*$|#+$)")
-BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*(?![\w])|\w+")
-COMMA = re.compile("[,;:，；、：]")
+ASIDE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(?m:^[ \t]*(?:#{1,6}[ \t\n]|>|\||[-=_*]{3,}[ \t]*$)[^\n]*)")
+BULLET = re.compile(r"(?m)^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+")
+TOKEN = re.compile(
+    r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*(?!\w)|\w+|[.!?](?=\s)|[。！？\n]|[,;:，；、：]"
+)
+#: Kinds of tokens: words, Han characters, names and numbers, ends of sentences, commas.
+PLAIN, CHARACTER, OTHER, END, COMMA = range(5)
 NAMES = (
     "length_mean length_median length_high length_low clauses clauses_high connectives diversity rarity rarity_high "
     "word_length long_words rare_share sentence_share rarity_median rarity_low rarity_top"
 ).split()
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of the prose: without fenced code, headings, quotes, tables, and lines that are mostly no words."""
-    out = []
-    for line in FENCE.sub("\n", text).splitlines():
-        if not line.strip() or ASIDE.match(line):
-            continue
-        line = BULLET.sub("", line)
-        for s in SENTENCE.split(line):
-            tokens = TOKEN.findall(s)
-            plain = sum(t[0].isalpha() and "_" not in t and not any(c.isdigit() for c in t) for t in tokens)
-            if tokens and plain >= 0.55 * len(tokens):
-                out.append(s)
-    return out
-
-
-def plain_words(sentence: str) -> list[str]:
-    return [t.lower() for t in TOKEN.findall(sentence) if "_" not in t and not any(c.isdigit() for c in t)]
-
-
-def language(words: list[str]) -> str:
-    if sum(1 for w in words if HAN.match(w)) > 0.3 * len(words):
-        return "zh"
-    return "de" if sum(w in GERMAN for w in words) > sum(w in ENGLISH for w in words) else "en"
-
-
-def _terms(words: list[str], lang: str) -> list[str]:
-    """What is counted as a word: words, and pairs of neighbouring Han characters."""
-    return [a + b for a, b in zip(words, words[1:])] if lang == "zh" else words
-
+class Tokens(dict):
+    """Numbers of tokens, with what is known of each: kind, hash, length, and whether it is a function word."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[tuple] = []
+        self.done = 0
+        self.columns: list[np.ndarray] = []
+
+    def __missing__(self, token: str) -> int:
+        first = token[0]
+        if first in ".!?。！？\n":
+            kind = END
+        elif first in ",;:，；、：":
+            kind = COMMA
+        elif "㐀" <= first <= "鿿":
+            kind = CHARACTER
+        else:
+            kind = PLAIN if first.isalpha() and "_" not in token and not any(c.isdigit() for c in token) else OTHER
+        word = token.lower()
+        link = word in (HAN_CONNECTIVES if kind == CHARACTER else CONNECTIVES)
+        value = xxhash.xxh64_intdigest(word, seed=17)
+        self.rows.append((kind, value, len(token), link, word in GERMAN, word in ENGLISH))
+        self[token] = n = len(self.rows) - 1
+        return n
+
+    def table(self) -> list[np.ndarray]:
+        if self.done < len(self.rows):
+            types = (np.int8, np.uint64, np.int32, bool, bool, bool)
+            new = [np.array(c, t) for c, t in zip(zip(*self.rows[self.done :]), types)]
+            self.columns = [np.concatenate(x) for x in zip(self.columns, new)] if self.done else new
+            self.done = len(self.rows)
+        return self.columns
+
+
+class Prose:
+    """The prose of a batch of texts, as arrays over its sentences and words.
+
+    Left out are fenced code, headings, quotes, tables, sentences that are mostly no words, and those in
+    ``known`` (sentences of evaluation passages); of a text of which nothing is left, the latter are
+    kept, and else all. ``known`` None: nothing is known and the values of all sentences are at hand.
+    """
 
-def prose(text: str, known: set[int], ids: WordIds) -> list[str]:
-    """The sentences that do not stand in ``known`` (those of evaluation passages); all, if none is left."""
-    every = sentences(text) or [s for s in text.splitlines() if s.strip()]
-    kept = [s for s in every if text_value(ids.of(s)) not in known]
-    return kept or every
+    def __init__(self, texts: list[str], tokens: Tokens, known: np.ndarray | None):
+        if len(tokens) > 1_000_000:
+            tokens.__init__()
+            tokens.clear()
+        lists = [TOKEN.findall(BULLET.sub("", ASIDE.sub("\n", t)) + "\n") for t in texts]
+        code = np.fromiter(chain.from_iterable(map(tokens.__getitem__, x) for x in lists), np.int64)
+        kind, value, size, link, german, english = (c[code] for c in tokens.table())
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
+        end = kind == END
+        sentence = np.cumsum(end) - end
+        n = int(end.sum())
+        self.docs, self.doc_of = len(texts), doc[end]
+        word = kind <= CHARACTER
+        count = lambda mask: np.bincount(sentence[mask], minlength=n)
+        self.length, other, self.commas = count(word), count(kind == OTHER), count(kind == COMMA)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(kind <= OTHER, mix(value), np.uint64(0)))])
+        at = np.flatnonzero(end) + 1
+        self.values = sums[at] - sums[np.concatenate([[0], at[:-1]])]
+
+        plain = (self.length > 0) & (self.length >= 0.55 * (self.length + other))
+        keep = plain if known is None else plain & ~np.isin(self.values, known)
+        for fallback in (plain, self.length > 0):
+            some = np.zeros(len(texts), bool)
+            some[self.doc_of[keep]] = True
+            keep = keep | (fallback & ~some[self.doc_of])
+        self.keep = keep
+
+        here = word & keep[sentence]
+        self.doc, self.sentence = doc[here], sentence[here]
+        self.value, self.size, self.link = value[here], size[here], link[here]
+        by_doc = lambda mask: np.bincount(self.doc[mask], minlength=len(texts))
+        self.words = np.bincount(self.doc, minlength=len(texts))
+        han = by_doc(kind[here] == CHARACTER) > 0.3 * self.words
+        self.language = np.where(han, 2, by_doc(german[here]) > by_doc(english[here]))
+
+        pair = mix(self.value[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.value[1:])
+        pair = np.append(pair, self.value[-1:])
+        chinese = self.language[self.doc] == 2
+        joined = np.append(self.doc[1:] == self.doc[:-1], [False] * min(1, len(self.doc)))
+        self.link = self.link | (chinese & np.isin(pair, HAN_PAIRS))
+        self.term = (np.where(chinese & joined, pair, self.value) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _pair_value(two: str) -> np.uint64:
+    a, b = (np.array([xxhash.xxh64_intdigest(c, seed=17)], np.uint64) for c in two)
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)[0]
+
+
+HAN_PAIRS = np.array([_pair_value(w) for w in sorted(HAN_CONNECTIVES) if len(w) == 2], np.uint64)
 
 
 def _frequencies(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, count, docs = WordIds(), np.zeros(BUCKETS, np.int64), 0
+        tokens, count, docs = Tokens(), np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = [w for s in prose(text, known.value, ids) for w in plain_words(s)]
-                terms = set(_terms(words, language(words)))
-                if terms:
-                    at = np.fromiter((ids[t] for t in terms), np.uint64, len(terms)) % np.uint64(BUCKETS)
-                    count[np.unique(at).astype(np.int64)] += 1
-                docs += 1
+            p = Prose(batch.column(0).to_pylist(), tokens, known.value)
+            count += np.bincount(np.unique(p.doc * BUCKETS + p.term) % BUCKETS, minlength=BUCKETS)
+            docs += p.docs
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*used.tolist(), -1], pa.int32()), pa.array([*count[used].tolist(), docs], pa.int64())],
@@ -103,59 +161,67 @@ def _frequencies(known):
     return run
 
 
-def features(text: str, known: set[int], ids: WordIds, idf: np.ndarray) -> tuple[str, list[float]]:
-    kept = prose(text, known, ids)
-    by = [w for w in map(plain_words, kept) if w]
-    words = [w for s in by for w in s]
-    lang = language(words)
-    if not words:
-        return lang, [0.0] * len(NAMES)
-    lengths = np.array([len(s) for s in by])
-    commas = np.array([len(COMMA.findall(s)) for s in kept]) + 1.0
-    if lang == "zh":
-        links = sum(len(HAN_CONNECTIVES.findall(s)) for s in kept)
-    else:
-        links = sum(w in CONNECTIVES for w in words)
-    terms = _terms(words, lang) or words
-    at = np.fromiter((ids[t] for t in terms), np.uint64, len(terms)) % np.uint64(BUCKETS)
-    rare = idf[at.astype(np.int64)]
-    ends = np.cumsum([len(s) for s in by])
-    sums = np.concatenate([[0.0], np.cumsum(rare)])
-    last = np.minimum(ends, len(rare))
-    first = np.minimum(ends - lengths, len(rare))
-    by_sentence = (sums[last] - sums[first]) / np.maximum(last - first, 1)
-    size = np.array([len(w) for w in words])
-    return lang, [
-        float(np.log(lengths.mean())),
-        float(np.log(np.median(lengths))),
-        float(np.log(np.quantile(lengths, 0.8))),
-        float(np.log(np.quantile(lengths, 0.3))),
-        float(np.median(commas)),
-        float(np.quantile(commas, 0.8)),
-        links / len(words),
-        float(np.log(len(set(terms))) / np.log(len(terms) + 1)),
-        float(rare.mean()),
-        float(np.quantile(rare, 0.8)),
-        float(size.mean()),
-        float((size >= 10).mean()),
-        float((rare > 2.5).mean()),
-        float((lengths >= (40 if lang == "zh" else 22)).mean()),
-        float(np.median(by_sentence)),
-        float(np.quantile(by_sentence, 0.3)),
-        float(np.quantile(by_sentence, 0.7)),
+def features(p: Prose, idf: np.ndarray) -> np.ndarray:
+    """One row a text with the features of NAMES; zeros for a text without words."""
+    n = p.docs
+    total = np.maximum(p.words, 1)
+
+    def quantile(values: np.ndarray, doc: np.ndarray, *shares: float) -> list[np.ndarray]:
+        order = np.lexsort((values, doc))
+        size = np.bincount(doc, minlength=n)
+        first = np.cumsum(size) - size
+        sorted_ = np.append(values[order], 0.0)
+        return [np.where(size > 0, sorted_[np.minimum(first + (q * np.maximum(size - 1, 0)).round().astype(int), len(values))], 0.0) for q in shares]
+
+    def mean(values: np.ndarray) -> np.ndarray:
+        return np.bincount(p.doc, values, minlength=n) / total
+
+    kept = p.keep & (p.length > 0)
+    doc, length = p.doc_of[kept], p.length[kept].astype(float)
+    in_doc = np.maximum(np.bincount(doc, minlength=n), 1)
+    rare = idf[p.term]
+    by_sentence = (np.bincount(p.sentence, rare, minlength=len(p.length)) / np.maximum(p.length, 1))[kept]
+    types = np.bincount(np.unique(p.doc * BUCKETS + p.term) // BUCKETS, minlength=n)
+    low, mid, high = quantile(length, doc, 0.3, 0.5, 0.8)
+    commas, commas_high = quantile(p.commas[kept] + 1.0, doc, 0.5, 0.8)
+    rare_low, rare_mid, rare_top = quantile(by_sentence, doc, 0.3, 0.5, 0.7)
+    (rare_high,) = quantile(rare, p.doc, 0.8)
+    long_ = length >= np.where(p.language[doc] == 2, 40, 22)
+    log = lambda x: np.log(np.maximum(x, 1.0))
+    columns = [
+        log(np.bincount(doc, length, minlength=n) / in_doc),
+        log(mid),
+        log(high),
+        log(low),
+        commas,
+        commas_high,
+        mean(p.link.astype(float)),
+        log(types) / np.log(total + 1),
+        mean(rare),
+        rare_high,
+        mean(p.size.astype(float)),
+        mean((p.size >= 10).astype(float)),
+        mean((rare > 2.5).astype(float)),
+        np.bincount(doc, long_.astype(float), minlength=n) / in_doc,
+        rare_mid,
+        rare_low,
+        rare_top,
     ]
+    return np.where(p.words[:, None] > 0, np.stack(columns, axis=1), 0.0)
 
 
 def _rows(known, idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
+        tokens = Tokens()
         for batch in batches:
-            rows = [features(t, known.value, ids, idf.value) for t in batch.column(1).to_pylist()]
+            p = Prose(batch.column(1).to_pylist(), tokens, known.value)
+            x = features(p, idf.value)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                    pa.array([LANGUAGES[g] for g in p.language.tolist()], pa.string()),
+                    pa.ListArray.from_arrays(offsets, pa.array(x.ravel())),
                 ],
                 names=["doc_id", "language", "f"],
             )
@@ -199,6 +265,17 @@ def fit(x: np.ndarray, lang: np.ndarray, level: np.ndarray) -> tuple[np.ndarray,
     return shared + own, np.array([cuts[0], cuts[0] + gaps[0], cuts[0] + gaps.sum()])
 
 
+def _known(passages: DataFrame | None) -> np.ndarray:
+    """Values of the passages' sentences, eight bytes each; the held-out set does not grow with the corpus."""
+    found = [np.empty(0, np.uint64)]
+    if passages is not None:
+        tokens = Tokens()
+        for row in passages.select("passage").where("passage is not null").distinct().toLocalIterator():
+            p = Prose([row[0]], tokens, None)
+            found.append(p.values[p.length > 0])
+    return np.unique(np.concatenate(found))
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """A level for every document with text: doc_id, language, score, reading_level.
 
@@ -215,13 +292,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame
     spark = documents.sparkSession
     stages = Stages(spark, "reading")
     some = documents.where("trim(text) rlike r'\\S'").select("doc_id", "text")
-    known: set[int] = set()
-    if passages is not None:
-        ids = WordIds()
-        for row in passages.select("passage").where("passage is not null").distinct().toLocalIterator():
-            known.update(text_value(ids.of(s)) for s in sentences(row[0]))
     sc = spark.sparkContext
-    known_b = sc.broadcast(known)
+    known_b = sc.broadcast(_known(passages))
     counts = (
         some.select("text")
         .mapInArrow(_frequencies(known_b), "bucket int, n bigint")
