@@ -32,9 +32,12 @@ HAN_CONNECTIVES = set(
 
 #: Buckets of the hashed document frequencies: their size does not grow with the corpus.
 BUCKETS = 1 << 18
-#: Labelled rows that the model is fitted on at most, chosen by a hash of the document.
+#: Labelled rows that the model is fitted on at most, chosen by a hash of the document: one half gives the grades of
+#: words, the other the regression.
 LABELS = 20_000
-RIDGE, SHARED_RIDGE, STEPS = 0.02, 0.002, 1500
+#: Texts of the mean grade that every word is taken to have been seen in besides.
+SMOOTHING = 3.0
+RIDGE, SHARED_RIDGE, STEPS = 0.003, 0.002, 1500
 #: Standardised features count up to so many deviations from the mean.
 CLIP = 3.0
 
@@ -47,7 +50,8 @@ TOKEN = re.compile(
 PLAIN, CHARACTER, OTHER, END, COMMA = range(5)
 NAMES = (
     "length_mean length_median length_high length_low clauses clauses_high connectives diversity rarity rarity_high "
-    "word_length long_words rare_share sentence_share rarity_median rarity_low rarity_top"
+    "word_length long_words rare_share sentence_share rarity_median rarity_low rarity_top "
+    "grade grade_median grade_low grade_top"
 ).split()
 
 
@@ -145,23 +149,30 @@ def _pair_value(two: str) -> np.uint64:
 HAN_PAIRS = np.array([_pair_value(w) for w in sorted(HAN_CONNECTIVES) if len(w) == 2], np.uint64)
 
 
-def _frequencies(known):
+def _frequencies(known, graded):
+    """Of each bucket the documents that hold it, and of the graded ones their number and the sum of their grades."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, count, docs = Tokens(), np.zeros(BUCKETS, np.int64), 0
+        tokens, docs = Tokens(), 0
+        count, number, total = (np.zeros(BUCKETS) for _ in range(3))
         for batch in batches:
-            p = Prose(batch.column(0).to_pylist(), tokens, known.value)
-            count += np.bincount(np.unique(p.doc * BUCKETS + p.term) % BUCKETS, minlength=BUCKETS)
+            p = Prose(batch.column(1).to_pylist(), tokens, known.value)
+            doc, bucket = np.divmod(np.unique(p.doc * BUCKETS + p.term), BUCKETS)
+            count += np.bincount(bucket, minlength=BUCKETS)
+            grade = np.array([graded.value.get(d, np.nan) for d in batch.column(0).to_pylist()])[doc]
+            has = ~np.isnan(grade)
+            if has.any():
+                number += np.bincount(bucket[has], minlength=BUCKETS)
+                total += np.bincount(bucket[has], grade[has], minlength=BUCKETS)
             docs += p.docs
         used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*used.tolist(), -1], pa.int32()), pa.array([*count[used].tolist(), docs], pa.int64())],
-            names=["bucket", "n"],
-        )
+        columns = [np.append(used, -1).astype(np.int32), *(np.append(c[used], x) for c, x in ((count, docs), (number, 0), (total, 0)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "n", "graded", "total"])
 
     return run
 
 
-def features(p: Prose, idf: np.ndarray) -> np.ndarray:
+def features(p: Prose, idf: np.ndarray, grade: np.ndarray) -> np.ndarray:
     """One row a text with the features of NAMES; zeros for a text without words."""
     n = p.docs
     total = np.maximum(p.words, 1)
@@ -180,11 +191,13 @@ def features(p: Prose, idf: np.ndarray) -> np.ndarray:
     doc, length = p.doc_of[kept], p.length[kept].astype(float)
     in_doc = np.maximum(np.bincount(doc, minlength=n), 1)
     rare = idf[p.term]
-    by_sentence = (np.bincount(p.sentence, rare, minlength=len(p.length)) / np.maximum(p.length, 1))[kept]
+    graded = grade[p.term]
+    sentence_mean = lambda x: (np.bincount(p.sentence, x, minlength=len(p.length)) / np.maximum(p.length, 1))[kept]
     types = np.bincount(np.unique(p.doc * BUCKETS + p.term) // BUCKETS, minlength=n)
     low, mid, high = quantile(length, doc, 0.3, 0.5, 0.8)
     commas, commas_high = quantile(p.commas[kept] + 1.0, doc, 0.5, 0.8)
-    rare_low, rare_mid, rare_top = quantile(by_sentence, doc, 0.3, 0.5, 0.7)
+    rare_low, rare_mid, rare_top = quantile(sentence_mean(rare), doc, 0.3, 0.5, 0.7)
+    grade_low, grade_mid, grade_top = quantile(sentence_mean(graded), doc, 0.3, 0.5, 0.7)
     (rare_high,) = quantile(rare, p.doc, 0.8)
     long_ = length >= np.where(p.language[doc] == 2, 40, 22)
     log = lambda x: np.log(np.maximum(x, 1.0))
@@ -206,16 +219,20 @@ def features(p: Prose, idf: np.ndarray) -> np.ndarray:
         rare_mid,
         rare_low,
         rare_top,
+        mean(graded),
+        grade_mid,
+        grade_low,
+        grade_top,
     ]
     return np.where(p.words[:, None] > 0, np.stack(columns, axis=1), 0.0)
 
 
-def _rows(known, idf):
+def _rows(known, lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
             p = Prose(batch.column(1).to_pylist(), tokens, known.value)
-            x = features(p, idf.value)
+            x = features(p, *lexicon.value)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -282,8 +299,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame
     Code, logs, headings, quotes (footers) and, if ``passages`` (column passage) are given, sentences of
     evaluation passages are left out of the prose. Word rarity comes from document frequencies over all
     documents, hashed into a fixed number of buckets. Features are standardised by language over all
-    documents, and an ordinal regression is fitted to at most ``LABELS`` labelled rows, chosen by hash;
-    several annotators of a document count each. Labels are compared without case and outer space; null
+    documents. At most ``LABELS`` labelled rows, chosen by hash, are used: one half gives each word the
+    mean level of the texts that hold it, the other fits an ordinal regression (all give both where one
+    half is empty); several annotators of a document count each. Labels are compared without case and outer space; null
     and other labels are ignored.
 
     Two passes over the texts, no shuffle of texts. Null, empty and blank texts give no row; a text
@@ -294,21 +312,34 @@ def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame
     some = documents.where("trim(text) rlike r'\\S'").select("doc_id", "text")
     sc = spark.sparkContext
     known_b = sc.broadcast(_known(passages))
+    clean = F.lower(F.regexp_replace("reading_level", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    valid = labels.select("doc_id", clean.alias("level")).where(F.col("level").isin(LEVELS) & F.col("doc_id").isNotNull())
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    picked = valid.withColumn("half", half).orderBy(F.xxhash64("doc_id", "level")).limit(LABELS).collect()
+    by_doc: dict = {}
+    for r in picked:
+        if r["half"] == 0 or all(x["half"] == 0 for x in picked):
+            by_doc.setdefault(r["doc_id"], []).append(LEVELS.index(r["level"]))
+    graded_b = sc.broadcast({d: float(np.mean(x)) for d, x in by_doc.items()})
+
     counts = (
-        some.select("text")
-        .mapInArrow(_frequencies(known_b), "bucket int, n bigint")
+        some.select("doc_id", "text")
+        .mapInArrow(_frequencies(known_b, graded_b), "bucket int, n double, graded double, total double")
         .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "graded", "total")])
         .toPandas()  # BUCKETS rows at most
     )
-    df = np.zeros(BUCKETS)
+    df, number, total = (np.zeros(BUCKETS) for _ in range(3))
     real = counts[counts.bucket >= 0]
-    df[real.bucket.to_numpy()] = real.n.to_numpy()
+    for c, name in ((df, "n"), (number, "graded"), (total, "total")):
+        c[real.bucket.to_numpy()] = real[name].to_numpy()
     docs = float(counts.loc[counts.bucket < 0, "n"].sum())
-    idf_b = sc.broadcast(np.log((docs + 1) / (df + 1)))
+    middle = float(np.mean(list(graded_b.value.values()))) if by_doc else 0.0
+    grade = (total + SMOOTHING * middle) / (number + SMOOTHING)
+    lexicon_b = sc.broadcast((np.log((docs + 1) / (df + 1)), grade))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = stages.keep(some.mapInArrow(_rows(known_b, idf_b), f"doc_id {kind}, language string, f array<double>"))
+    rows = stages.keep(some.mapInArrow(_rows(known_b, lexicon_b), f"doc_id {kind}, language string, f array<double>"))
     k = len(NAMES)
     f = [F.col("f")[i] for i in range(k)]
     stats = rows.groupBy("language").agg(
@@ -320,9 +351,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame
         mean[g] = [r[f"m{i}"] for i in range(k)]
         std[g] = [r[f"s{i}"] or 1.0 for i in range(k)]
 
-    clean = F.lower(F.regexp_replace("reading_level", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    known_labels = labels.select("doc_id", clean.alias("level")).where(F.col("level").isin(LEVELS))
-    sample = rows.join(known_labels, "doc_id").orderBy(F.xxhash64("doc_id", "level")).limit(LABELS).collect()
+    level_of = spark.createDataFrame([(r["doc_id"], r["level"], int(r["half"])) for r in picked], f"doc_id {kind}, level string, half int")
+    sample = rows.join(F.broadcast(level_of), "doc_id").collect()  # LABELS rows at most
+    sample = [r for r in sample if r["half"] == 1] or sample
     if not sample:
         return rows.select("doc_id", "language", F.lit(0.0).alias("score"), F.lit("").alias("reading_level")).limit(0)
     lang = np.array([LANGUAGES.index(r["language"]) for r in sample])
