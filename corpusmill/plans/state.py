@@ -137,8 +137,8 @@ def e01_visible(spark: SparkSession, d: str) -> DataFrame:
 
 def l06_frontier(spark: SparkSession, d: str) -> DataFrame:
     lines, parts = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    rate = F.round(F.avg((F.col("l_returnflag") != "R").cast("double")), 4)
-    cost = F.round(F.avg(F.col("l_extendedprice").cast("double")), 0)
+    rate = F.expr("10000 * count_if(l_returnflag != 'R') div count(*)")  # whole numbers: the same in any order of rows
+    cost = F.expr("sum(cast(round(l_extendedprice * 100) as bigint)) div count(*)")
     per = lines.groupBy("l_suppkey").agg(rate.alias("pass_rate"), cost.alias("cost"))
     named = per.join(parts, per.l_suppkey == parts.s_suppkey).select("l_suppkey", "s_nationkey", "pass_rate", "cost")
     return evidence.pareto_frontier(named, "s_nationkey", "pass_rate", "cost")
@@ -161,7 +161,7 @@ def a14_timings(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     x = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")
     return lines.groupBy("l_linestatus", "l_returnflag").agg(
-        F.count("*").alias("samples"), F.round(F.min(x), 4).alias("low"), F.round(F.max(x), 4).alias("high"), F.round(F.exp(F.avg(F.log(x))), 4).alias("geomean")
+        F.count("*").alias("samples"), F.round(F.min(x), 9).alias("low"), F.round(F.max(x), 9).alias("high"), F.round(F.exp(F.avg(F.log(x))), 6).alias("geomean")
     )
 
 
@@ -264,8 +264,8 @@ ORACLES = {
     "e03_withdrawn": "SELECT DISTINCT entry_id FROM entries WHERE published_revision IS NOT NULL AND entry_id NOT IN (SELECT entry_id FROM entries WHERE feed_active = 1 AND entry_id IS NOT NULL)",
     "e01_visible": """SELECT entry_id, origin, kind, title FROM entries WHERE entry_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id
       ORDER BY CASE origin WHEN 'feed' THEN 2 WHEN 'import' THEN 1 ELSE 0 END DESC, updated DESC NULLS LAST, title DESC NULLS LAST) = 1""",
-    "l06_frontier": """WITH c AS (SELECT l_suppkey, s_nationkey, round(avg(CASE WHEN l_returnflag <> 'R' THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS pass_rate,
-        round(avg(l_extendedprice::DOUBLE), 0) AS cost FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+    "l06_frontier": """WITH c AS (SELECT l_suppkey, s_nationkey, 10000 * count(*) FILTER (WHERE l_returnflag <> 'R') // count(*) AS pass_rate,
+        (sum(round(l_extendedprice * 100)::BIGINT) // count(*))::BIGINT AS cost FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
       SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.s_nationkey = a.s_nationkey AND b.pass_rate >= a.pass_rate AND b.cost <= a.cost
         AND (b.pass_rate > a.pass_rate OR b.cost < a.cost))""",
     "a13_retention": """WITH c AS (SELECT l_orderkey, bool_and(CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag <> 'R' END) AS bp, bool_and(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag <> 'R' END) AS cp,
@@ -279,7 +279,7 @@ ORACLES = {
         round(count(*) FILTER (WHERE bucket = 'both_pass') / nullif(count(*) FILTER (WHERE bucket IN ('both_pass', 'opt_regression')), 0), 6) AS retention,
         round(exp(avg(ln(ratio)) FILTER (WHERE bucket = 'both_pass')), 6) AS speedup,
         bool_and(coalesce(bucket = 'both_pass' AND ratio >= 1, false)) FILTER (WHERE guard) AS guard_ok FROM r GROUP BY 1""",
-    "a14_timings": """SELECT l_linestatus, l_returnflag, count(*) AS samples, round(min(x), 4) AS low, round(max(x), 4) AS high, round(exp(avg(ln(x))), 4) AS geomean
+    "a14_timings": """SELECT l_linestatus, l_returnflag, count(*) AS samples, round(min(x), 9) AS low, round(max(x), 9) AS high, round(exp(avg(ln(x))), 6) AS geomean
       FROM (SELECT l_linestatus, l_returnflag, l_extendedprice::DOUBLE / l_quantity::DOUBLE AS x FROM lineitem) GROUP BY ALL""",
     "r08_mac_addresses": r"SELECT finding_id, sum(len(regexp_extract_all(value, '(?i)\b(?:[0-9a-f]{2}:){5}[0-9a-f]{2}\b')))::BIGINT AS n FROM findings WHERE finding_id IS NOT NULL GROUP BY 1 HAVING n > 0",
     "s12_json_lines": V + "SELECT id, revision, tier, sha256(coalesce(body, '')) AS digest FROM valid",
