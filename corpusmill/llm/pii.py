@@ -285,6 +285,7 @@ def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
     nothing. Repeated rows give their spans once.
     """
     spark = parts.sparkSession
+    parts = parts.where("text is not null")
     stages = Stages(spark, "pii")
     sc = spark.sparkContext
     found = stages.keep(
