@@ -7,7 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.clean import clean_id
@@ -247,9 +247,9 @@ def similar_classes(units: DataFrame, similarity: float = SIMILARITY, block: int
     members = kept.select("id", "revision", "class")
     classes = stages.keep(kept.groupBy("class").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
-    size = F.count("*").over(Window.partitionBy("key"))
-    keyed = classes.select("class", F.explode("bands").alias("key")).withColumn("n", size).where("n > 1")
-    met = keyed.join(classes.select("class", "sketch"), "class")
+    keyed = classes.select("class", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # no task sees a whole bucket
+    met = keyed.join(sizes, "key").join(classes.select("class", "sketch"), "class")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     tasks = (

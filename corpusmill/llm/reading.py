@@ -38,6 +38,8 @@ LABELS = 20_000
 #: Texts of the mean grade that every word is taken to have been seen in besides.
 SMOOTHING = 3.0
 RIDGE, SHARED_RIDGE, STEPS = 0.003, 0.002, 1500
+#: Sentences of evaluation passages at most: they are broadcast.
+KNOWN = 2_000_000
 #: Standardised features count up to so many deviations from the mean.
 CLIP = 3.0
 
@@ -283,13 +285,15 @@ def fit(x: np.ndarray, lang: np.ndarray, level: np.ndarray) -> tuple[np.ndarray,
 
 
 def _known(passages: DataFrame | None) -> np.ndarray:
-    """Values of the passages' sentences, eight bytes each; the held-out set does not grow with the corpus."""
-    found = [np.empty(0, np.uint64)]
+    """Values of the passages' sentences, eight bytes each; a held-out set of more than KNOWN sentences is refused."""
+    found, total = [np.empty(0, np.uint64)], 0
     if passages is not None:
         tokens = Tokens()
         for row in passages.select("passage").where("passage is not null").distinct().toLocalIterator():
             p = Prose([row[0]], tokens, None)
             found.append(p.values[p.length > 0])
+            if (total := total + len(found[-1])) > KNOWN:
+                raise ValueError(f"more than {KNOWN} sentences of evaluation passages")
     return np.unique(np.concatenate(found))
 
 
@@ -317,8 +321,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     picked = valid.withColumn("half", half).orderBy(F.xxhash64("doc_id", "level")).limit(LABELS).collect()
     by_doc: dict = {}
+    both = {r["half"] for r in picked} == {0, 1}
     for r in picked:
-        if r["half"] == 0 or all(x["half"] == 0 for x in picked):
+        if r["half"] == 0 or not both:
             by_doc.setdefault(r["doc_id"], []).append(LEVELS.index(r["level"]))
     graded_b = sc.broadcast({d: float(np.mean(x)) for d, x in by_doc.items()})
 
@@ -353,7 +358,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, passages: DataFrame
 
     level_of = spark.createDataFrame([(r["doc_id"], r["level"], int(r["half"])) for r in picked], f"doc_id {kind}, level string, half int")
     sample = rows.join(F.broadcast(level_of), "doc_id").collect()  # LABELS rows at most
-    sample = [r for r in sample if r["half"] == 1] or sample
+    sample = [r for r in sample if r["half"] == 1 or not both]
     if not sample:
         return rows.select("doc_id", "language", F.lit(0.0).alias("score"), F.lit("").alias("reading_level")).limit(0)
     lang = np.array([LANGUAGES.index(r["language"]) for r in sample])
