@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,20 @@ def build_session(
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once an application, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    package = Path(__file__).resolve().parent
+    if app in _SHIPPED or not package.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "corpusmill.zip"  # on the driver; Spark serves it from there
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
