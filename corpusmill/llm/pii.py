@@ -51,6 +51,7 @@ NAME = re.compile(rf"(?<![\w/.@-])(?=(({_W})((?: [A-ZÀ-ÖØ-Þ]\.)*)(,?) ({_W})
 HAN_SEED = re.compile(r"[:：] ?([㐀-鿿]{2,4})[ \t]*\r?\n")
 HAN_CITY = re.compile(r"(?<![㐀-鿿])([㐀-鿿]{2,5}市)[㐀-鿿]{1,6}[区县][㐀-鿿]{1,8}?(?:路|街|大道|巷|弄|道|胡同) ?\d+ ?号")
 NEAR = re.compile(r"\w+|[^\w\s]|\n")
+BEFORE, AFTER = re.compile(r"([^\W\d_]+)[^\w\n|]*\Z"), re.compile(r"[^\w\n|]*([^\W\d_]+)")
 
 #: Characters of names and names of cities that are learned at most, most frequent first; alphabets, not instances.
 LEARNED = 5_000
@@ -148,7 +149,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             plain = text.translate(FULL_WIDTH)
             for m in HAN_SEED.finditer(plain):
-                if EMAIL.search(plain, m.end(), m.end() + 120):
+                end = plain.find("\n", m.end())
+                if EMAIL.search(plain, m.end(), end if end >= 0 else len(plain)):
                     rows.append(("name", m.group(1)))
             if "市" in plain:
                 rows += [("city", m.group(1)) for m in HAN_CITY.finditer(plain)]
@@ -192,6 +194,13 @@ def _scan(model):
             i = m.end()
         return " ".join(left[::-1]), " ".join(right[:2]), seed
 
+    def shouted(text: str, a: int, b: int) -> bool:
+        """Whether capitals belong to a sentence in capitals."""
+        if not text[a:b].isupper():
+            return False
+        beside = (BEFORE.search(text, max(0, a - 30), a), AFTER.match(text, b, b + 30))
+        return any(m and len(m[1]) > 1 and m[1].isupper() for m in beside)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, given, sizes, cities = model.value
         han = None
@@ -212,7 +221,7 @@ def _scan(model):
                 ]
                 names += [(*m.span(), m.group(), "") for m in (han.finditer(plain) if han else ())]
                 for a, b, first, last in names:
-                    if any(a < y and x < b for _, x, y in spans):
+                    if any(a < y and x < b for _, x, y in spans) or (last and shouted(plain, a, b)):
                         continue
                     left, right, seed = context(plain, a, b, at, ends)
                     rows.append((*head, "name", text[a:b], a, b, first.casefold(), last.casefold(), left, right, seed))
@@ -234,6 +243,7 @@ def name_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
     """
     edges = stages.keep(
         candidates.select("given", "family", "seed", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern"))
+        .where(r"pattern rlike '[ <][\\p{L}\\p{N}]'")  # punctuation alone says nothing
         .groupBy("given", "family", "pattern")
         .agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
     )
