@@ -13,7 +13,7 @@ from corpusmill.functions.clean import clean_id
 from corpusmill.io import Stages
 
 #: Links of a component that one task may hold; larger components are resolved by joins, level by level.
-TASK_LINKS = 500_000
+TASK_LINKS = 200_000
 #: The same where every ancestor comes out, of which a chain of n links has n * n / 2.
 CLOSURE_LINKS = 5_000
 
