@@ -14,7 +14,7 @@ from corpusmill.operators.snapshots import snapshot_changes
 from corpusmill.plans.general import _CHANGES, _TREE
 from corpusmill.plans.retrieval import _STATUS, _VALID, OBSERVED, ORACLES as RETRIEVAL, V, _queries
 from corpusmill.plans.state import A
-from corpusmill.streaming import events as ev
+from corpusmill.streaming import carried, events as ev
 
 #: Estimated tokens that a page of ranked units may hold.
 BUDGET = 600
@@ -160,12 +160,38 @@ def x05_streamed_pieces(spark: SparkSession, d: str) -> DataFrame:
     return ev.drained(once, spark).dropDuplicates(["block_id"]).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
 
 
+def x04_carried_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of documents as a stream: characters in fenced blocks, which are carried from page to page."""
+    source = table(spark, d, "documents")
+    rows = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parquet*")
+    found = ev.drained(carried.fenced_characters(carried.pages(rows.where("doc_id is not null"))), spark)
+    return found.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("n_chars").alias("n_chars"), F.sum("inside").alias("inside"))
+
+
+def x12_refreshed_index(spark: SparkSession, d: str) -> DataFrame:
+    """Term counts of the last delivery, kept up from the one before by its changes alone: what is gone is taken away, what is new added.
+
+    terms are the parts of ``domain_path``; the rows equal a count over the last delivery.
+    """
+    rows = table(spark, d, "unit_snapshots").where("snapshot_id is not null and id is not null")
+    valid = rows.groupBy("snapshot_id", clean_id("id").alias("id")).agg(F.max(F.struct("delivered_at", "revision", "domain_path")).alias("r"))
+    ids = [r[0] for r in rows.select("snapshot_id").distinct().orderBy(F.desc("snapshot_id")).limit(2).collect()]  # two deliveries
+    terms = valid.where(F.col("snapshot_id").isin(ids)).select(
+        "id", (F.col("snapshot_id") == max(ids, default=0)).alias("new"), F.explode(F.split(F.coalesce("r.domain_path", F.lit("")), "/")).alias("term")
+    )
+    old = terms.where("not new").groupBy("term").agg(F.count("*").alias("n"))
+    mark = terms.groupBy("id", "term").agg((F.count_if("new") - F.count_if(~F.col("new"))).alias("change")).where("change != 0")
+    delta = mark.groupBy("term").agg(F.sum("change").alias("change"))
+    kept = old.join(delta, "term", "full").select("term", (F.coalesce("n", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("n"))
+    return kept.where("n > 0")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         q02_explain_units, w07_budget, j09_successors, j18_closure_check, q21_unadvanced, m01_block_conflicts,
         m26_covered_attempts, m43_latest_fault, w10_interleaved, a21_generations, r31_masked, r35_private_addresses, t26_paths,
-        e02_disagreements, x05_streamed_pieces,
+        e02_disagreements, x04_carried_blocks, x05_streamed_pieces, x12_refreshed_index,
     )
 }
 
@@ -204,5 +230,14 @@ ORACLES = {
     "r35_private_addresses": V + f"SELECT id, len(regexp_extract_all(body, '{PRIVATE}'))::INT AS n, sha256(regexp_replace(body, '{PRIVATE}', '<private-address>', 'g')) AS digest FROM valid WHERE regexp_matches(body, '{PRIVATE}')",
     "t26_paths": V + "SELECT domain_path, coalesce(regexp_matches(domain_path, '^[a-z0-9_][a-z0-9_-]*(/[a-z0-9_][a-z0-9_-]*)*$'), false) AS plain, count(*) AS units FROM valid GROUP BY ALL",
     "e02_disagreements": "SELECT entry_id, count(DISTINCT title) AS titles, count(DISTINCT kind) AS kinds FROM entries WHERE entry_id IS NOT NULL GROUP BY 1 HAVING titles > 1 OR kinds > 1",
+    "x04_carried_blocks": """WITH p AS (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 2000)::INT)) AS page FROM documents WHERE text <> ''),
+      t AS (SELECT doc_id, page, substr(text, page * 2000 + 1, 2000) AS part FROM p),
+      f AS (SELECT doc_id, page, part, string_split(part, '```') AS parts,
+        sum(len(string_split(part, '```')) - 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)
+      SELECT doc_id, count(*) AS pages, sum(length(part))::BIGINT AS n_chars, sum(list_sum(list_transform(range(1, len(parts) + 1),
+        lambda i: CASE WHEN (i - 1 + coalesce(before, 0)) % 2 = 1 THEN length(parts[i]) ELSE 0 END)))::BIGINT AS inside FROM f GROUP BY 1""",
+    "x12_refreshed_index": r"""WITH l AS (SELECT domain_path FROM unit_snapshots WHERE id IS NOT NULL AND snapshot_id = (SELECT max(snapshot_id) FROM unit_snapshots WHERE id IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) ORDER BY delivered_at DESC NULLS LAST, revision DESC NULLS LAST, domain_path DESC NULLS LAST) = 1)
+      SELECT term, count(*) AS n FROM (SELECT unnest(string_split(coalesce(domain_path, ''), '/')) AS term FROM l) GROUP BY 1""",
     "x05_streamed_pieces": "SELECT doc_id, octet_length(encode(text)) AS n_bytes FROM documents WHERE text <> ''",
 }

@@ -80,3 +80,13 @@ def test_json_lines_and_markdown(spark, tmp_path):
     bad = spark.createDataFrame([("no head",), ("---\nid: 1\nid: 2\n---\nx",)], "markdown string")
     assert sorted(r["error"] for r in files.parse_markdown(bad, schema).collect()) == ["no front matter", "repeated key"]
     assert files.parse_markdown(bad.where(F.lit(False)), schema).count() == 0
+
+
+def test_pages_carry_open_blocks():
+    from corpusmill.streaming.carried import scan_page
+
+    assert scan_page("a ``` bcd", False) == (4, True)
+    assert scan_page("ef ``` g", True) == (3, False)
+    assert scan_page("plain", True) == (5, True)
+    assert scan_page("```x``````y```", False) == (2, False)
+    assert scan_page("", False) == (0, False)
