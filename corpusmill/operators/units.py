@@ -9,14 +9,17 @@ from corpusmill.functions.clean import clean_id
 from corpusmill.functions.text import normal_trigger, token_estimate
 
 
-def valid_units(units: DataFrame) -> DataFrame:
-    """Of each id the row with the highest revision (ties: the greater body); null ids are ignored."""
-    columns = [c for c in units.columns if c not in ("id", "revision", "body")]
-    row = F.struct("revision", "body", *columns)
+def valid_units(units: DataFrame, *columns: str) -> DataFrame:
+    """id, revision and the given columns (all, if none is given) of valid rows: of each id the one with the highest revision.
+
+    Equal revisions: the greater values of these columns. Null ids are ignored. Name the columns: only
+    they are read and shuffled.
+    """
+    columns = columns or tuple(c for c in units.columns if c not in ("id", "revision"))
     return (
         units.where("id is not null")
         .groupBy(clean_id("id").alias("id"))
-        .agg(F.max_by(row, F.struct("revision", "body")).alias("row"))
+        .agg(F.max(F.struct("revision", *columns)).alias("row"))
         .select("id", "row.*")
     )
 

@@ -60,7 +60,7 @@ def t15_line_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t18_repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    parts = u.valid_units(table(spark, d, "graded_units")).where("body is not null").select("id", F.split("body", "\n\n").alias("p"))
+    parts = u.valid_units(table(spark, d, "graded_units"), "body").where("body is not null").select("id", F.split("body", "\n\n").alias("p"))
     return parts.select("id", F.size("p").alias("paragraphs"), F.size(F.array_distinct("p")).alias("kept")).where("kept < paragraphs")
 
 
@@ -70,22 +70,22 @@ def t19_error_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t23_normal_triggers(spark: SparkSession, d: str) -> DataFrame:
-    rows = u.valid_units(table(spark, d, "graded_units")).select(F.explode("triggers.keywords").alias("keyword"))
+    rows = u.valid_units(table(spark, d, "graded_units"), "triggers").select(F.explode("triggers.keywords").alias("keyword"))
     return rows.groupBy(t.normal_trigger("keyword").alias("trigger")).agg(F.count("*").alias("units"))
 
 
 def t24_body_digests(spark: SparkSession, d: str) -> DataFrame:
-    rows = u.valid_units(table(spark, d, "graded_units")).where("body is not null")
+    rows = u.valid_units(table(spark, d, "graded_units"), "body", "content_sha256").where("body is not null")
     return rows.select("id", F.sha2("body", 256).alias("digest"), F.coalesce(F.sha2("body", 256) == F.lower("content_sha256"), F.lit(False)).alias("as_delivered"))
 
 
 def t27_locators(spark: SparkSession, d: str) -> DataFrame:
-    rows = u.valid_units(table(spark, d, "graded_units")).select(t.locator("provenance.source_locator").alias("l"))
+    rows = u.valid_units(table(spark, d, "graded_units"), "provenance").select(t.locator("provenance.source_locator").alias("l"))
     return rows.groupBy("l.repo").agg(F.count("*").alias("units"), F.countDistinct("l.revision").alias("revisions"))
 
 
 def s19_table_rows(spark: SparkSession, d: str) -> DataFrame:
-    units = u.valid_units(table(spark, d, "graded_units"))
+    units = u.valid_units(table(spark, d, "graded_units"), "body")
     rows = units.select("id", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^\|[^\n]*\|$"), F.lit(0))).alias("row"))
     cells = F.size(F.split("row", r"\|")) - 2
     return rows.groupBy("id").agg(F.count("*").alias("n_rows"), F.max(cells).alias("cells"))
@@ -97,13 +97,13 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a02_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    corpus = ranking.header_text(u.valid_units(table(spark, d, "graded_units")))
+    corpus = ranking.header_text(u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body"))
     return ranking.top_k(ranking.bm25(corpus, _queries(spark, d), parts=False)).select("query_id", "id", "score", "rank")
 
 
 def q01_graded_query(spark: SparkSession, d: str) -> DataFrame:
     """BM25 with identifier parts, of active units that apply to what is observed; one tier weighs less, one path more."""
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body", "conditions", "status", "tier", "domain_path")
     status = u.match_conditions(valid, OBSERVED)
     live = valid.where("coalesce(status, 'active') not in ('archived', 'superseded', 'suspect')").select("id", "tier", "domain_path")
     fit = live.join(status.where("status != 'mismatch'"), "id")
@@ -115,7 +115,7 @@ def q01_graded_query(spark: SparkSession, d: str) -> DataFrame:
 
 def a12_known_item_eval(spark: SparkSession, d: str) -> DataFrame:
     """Titles of every fiftieth unit as queries, over all units."""
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body")
     asked = valid.where(F.pmod(F.crc32("id"), F.lit(50)) == 0).where("title is not null")
     queries = asked.select(F.col("id").alias("query_id"), F.col("title").alias("query"))
     ranked = ranking.top_k(ranking.bm25(ranking.header_text(valid), queries), 10)
@@ -123,18 +123,18 @@ def a12_known_item_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f01_applicability(spark: SparkSession, d: str) -> DataFrame:
-    return u.match_conditions(u.valid_units(table(spark, d, "graded_units")), OBSERVED)
+    return u.match_conditions(u.valid_units(table(spark, d, "graded_units"), "conditions"), OBSERVED)
 
 
 def a03_exclusions(spark: SparkSession, d: str) -> DataFrame:
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "status", "conditions")
     rows = valid.select("id", F.coalesce("status", F.lit("active")).alias("unit_status")).join(u.match_conditions(valid, OBSERVED), "id")
     return rows.groupBy("unit_status", "status").agg(F.count("*").alias("units"))
 
 
 def j06_promoted_parents(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "graded_units")
-    tiers = u.valid_units(source).select("id", "tier")
+    tiers = u.valid_units(source, "tier").select("id", "tier")
     above = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1]
     parents = tiers.where("tier in ('L1', 'L2')").select(F.col("id").alias("ancestor_id"), F.col("tier").alias("parent_tier"))
     return above.join(tiers.where("tier = 'L3'").select("id"), "id").join(parents, "ancestor_id").select("id", "ancestor_id", "parent_tier")
@@ -142,7 +142,7 @@ def j06_promoted_parents(spark: SparkSession, d: str) -> DataFrame:
 
 def j04_unusable_ancestors(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "graded_units")
-    status = u.valid_units(source).select(F.col("id").alias("ancestor_id"), F.coalesce("status", F.lit("active")).alias("s"))
+    status = u.valid_units(source, "status").select(F.col("id").alias("ancestor_id"), F.coalesce("status", F.lit("active")).alias("s"))
     above = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1].join(status, "ancestor_id", "left")
     return (
         above.groupBy("id")
@@ -152,11 +152,11 @@ def j04_unusable_ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a04_duplicate_rules(spark: SparkSession, d: str) -> DataFrame:
-    return u.duplicate_rules(u.valid_units(table(spark, d, "graded_units"))).drop("rule")
+    return u.duplicate_rules(u.valid_units(table(spark, d, "graded_units"), "body", "conditions", "tier", "category", "evidence_strength", "inherits_from", "provenance")).drop("rule")
 
 
 def a05_shared_rules(spark: SparkSession, d: str) -> DataFrame:
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "body", "conditions")
     groups = valid.groupBy(u.rule_key(body_only=True).alias("rule")).agg(F.count("*").alias("occurrences"), F.min("id").alias("first_id"))
     total = valid.agg(F.count("*").alias("units"))
     joined = groups.where("occurrences > 1").join(F.broadcast(total))  # one row
@@ -164,16 +164,16 @@ def a05_shared_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a06_shard_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return u.shard_metrics(u.valid_units(table(spark, d, "graded_units")))
+    return u.shard_metrics(u.valid_units(table(spark, d, "graded_units"), "domain_path", "body"))
 
 
 def a08_tiers_by_path(spark: SparkSession, d: str) -> DataFrame:
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "domain_path", "tier")
     return valid.groupBy("domain_path").pivot("tier", ["L1", "L2", "L3", "L4"]).count().na.fill(0)
 
 
 def j10_trigger_classes(spark: SparkSession, d: str) -> DataFrame:
-    return u.trigger_classes(u.valid_units(table(spark, d, "graded_units")))
+    return u.trigger_classes(u.valid_units(table(spark, d, "graded_units"), "triggers", "conditions"))
 
 
 def a07_growth(spark: SparkSession, d: str) -> DataFrame:

@@ -24,7 +24,7 @@ PRIVATE = r"\b(?:10\.[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168)\.[0-9]{1,
 def q02_explain_units(spark: SparkSession, d: str) -> DataFrame:
     """Of every unit why it may or may not be delivered: itself, then what it inherits, then the conditions."""
     source = table(spark, d, "graded_units")
-    valid = u.valid_units(source)
+    valid = u.valid_units(source, "status", "conditions")
     state = valid.select("id", F.coalesce("status", F.lit("active")).alias("unit_status"))
     above = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1]
     named = above.join(state.select(F.col("id").alias("ancestor_id"), F.col("unit_status").alias("s")), "ancestor_id", "left")
@@ -44,7 +44,7 @@ def q02_explain_units(spark: SparkSession, d: str) -> DataFrame:
 
 def w07_budget(spark: SparkSession, d: str) -> DataFrame:
     """Of each query's twenty best units those that fit a budget, taken in order of rank; one that does not fit is skipped."""
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body")
     ranked = ranking.top_k(ranking.bm25(ranking.header_text(valid), _queries(spark, d), parts=False), 20)
     sizes = valid.select("id", t.token_estimate(F.coalesce("body", F.lit(""))).cast("bigint").alias("tokens"))
     lists = ranked.join(sizes, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "tokens"))).alias("rows"))
@@ -70,7 +70,7 @@ def j18_closure_check(spark: SparkSession, d: str) -> DataFrame:
     """Delivered closures against the right ones: pairs that are in both, missing as delivered, or there by mistake."""
     source = table(spark, d, "graded_units")
     right = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1].select("id", "ancestor_id", F.lit(1).alias("r"))
-    given = u.valid_units(source).select("id", F.explode("inherits_from_closure").alias("a"))
+    given = u.valid_units(source, "inherits_from_closure").select("id", F.explode("inherits_from_closure").alias("a"))
     given = given.select("id", clean_id("a").alias("ancestor_id")).where("ancestor_id != ''").distinct().withColumn("g", F.lit(1))
     state = F.when(F.col("g").isNull(), "missing").when(F.col("r").isNull(), "mistaken").otherwise("both")
     return right.join(given, ["id", "ancestor_id"], "full").groupBy(state.alias("state")).agg(F.count("*").alias("pairs"))
@@ -118,7 +118,7 @@ def a21_generations(spark: SparkSession, d: str) -> DataFrame:
     """A value of the units under each path that changes with any of them: the sum of their hashes, in any order."""
     key = F.md5(F.concat_ws("|", "id", F.col("revision").cast("string"), F.coalesce("tier", F.lit(""))))
     part = F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint")
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "domain_path", "tier")
     return valid.groupBy("domain_path").agg(F.count("*").alias("units"), F.sum(part).alias("generation"))
 
 
@@ -133,7 +133,7 @@ def r31_masked(spark: SparkSession, d: str) -> DataFrame:
 def r35_private_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Units and private addresses in them; the text without them."""
     hits = F.regexp_extract_all("body", F.lit(PRIVATE), F.lit(0))
-    valid = u.valid_units(table(spark, d, "graded_units"))
+    valid = u.valid_units(table(spark, d, "graded_units"), "body")
     clean = F.sha2(F.regexp_replace("body", PRIVATE, "<private-address>"), 256)
     return valid.select("id", F.size(hits).alias("n"), clean.alias("digest")).where("n > 0")
 
@@ -141,7 +141,7 @@ def r35_private_addresses(spark: SparkSession, d: str) -> DataFrame:
 def t26_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths and whether they are relative and plain: no empty, dot or hidden part, nothing but letters, digits, - and _."""
     ok = F.coalesce(F.col("domain_path").rlike(r"^[a-z0-9_][a-z0-9_-]*(/[a-z0-9_][a-z0-9_-]*)*$"), F.lit(False))
-    return u.valid_units(table(spark, d, "graded_units")).groupBy("domain_path", ok.alias("plain")).agg(F.count("*").alias("units"))
+    return u.valid_units(table(spark, d, "graded_units"), "domain_path").groupBy("domain_path", ok.alias("plain")).agg(F.count("*").alias("units"))
 
 
 def e02_disagreements(spark: SparkSession, d: str) -> DataFrame:

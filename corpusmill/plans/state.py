@@ -166,7 +166,7 @@ def a14_timings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r28_scan_units(spark: SparkSession, d: str) -> DataFrame:
-    found = redact.scan(valid_units(table(spark, d, "graded_units")), "id", "body")
+    found = redact.scan(valid_units(table(spark, d, "graded_units"), "body"), "id", "body")
     return found.groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("key").alias("units"))
 
 
@@ -178,14 +178,14 @@ def r08_mac_addresses(spark: SparkSession, d: str) -> DataFrame:
 def s12_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Units written as JSON lines and read again."""
     path = f"{shared_folder(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
-    files.write_json_lines(valid_units(table(spark, d, "graded_units")).select("id", "revision", "tier", "title", "body"), path)
+    files.write_json_lines(valid_units(table(spark, d, "graded_units"), "tier", "title", "body").select("id", "revision", "tier", "title", "body"), path)
     back = files.read_json_lines(spark, path, "id string, revision bigint, tier string, title string, body string")
     return back.where("_damaged is null").select("id", "revision", "tier", F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"))
 
 
 def s02_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Units rendered as Markdown with front matter and parsed again."""
-    rows = valid_units(table(spark, d, "graded_units")).select(*UNIT, "body")
+    rows = valid_units(table(spark, d, "graded_units"), "tier", "domain_path", "inherits_from", "body").select(*UNIT, "body")
     back = files.parse_markdown(files.unit_markdown(rows).select("markdown"), UNIT)
     return back.select("id", "revision", F.size("inherits_from").alias("parents"), F.sha2("body", 256).alias("digest"), "error")
 
