@@ -54,7 +54,8 @@ def terms(text: Column | str, parts: bool = True) -> Column:
     def expand(raw: Column) -> Column:
         word = F.array(F.lower(raw))
         plain = F.concat(word, identifier_parts(raw)) if parts else word
-        return F.when(raw.rlike(HAN), bigrams(raw)).otherwise(plain)
+        simple = raw.rlike("^[a-z]*[0-9]*$")  # has no parts; most lexemes are such
+        return F.when(simple, F.array(raw)).when(raw.rlike(HAN), bigrams(raw)).otherwise(plain)
 
     return F.flatten(F.transform(lexemes(text), expand))
 
