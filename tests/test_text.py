@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as t
 
 TEXTS = [
-    "ACLGraph runs get_token_ids v2.10.3 at host-7:80 中文字符 x",
-    "aclrtSynchronizeStream and Part910B4_lane, HTTPServer2",
+    "XMLGraph runs get_token_ids v2.10.3 at host-7:80 中文字符 x",
+    "laneSynchronizeStream and Part910B4_lane, HTTPServer2",
     "",
     None,
     "单",
