@@ -53,14 +53,18 @@ HAN_CITY = re.compile(r"(?<![㐀-鿿])([㐀-鿿]{2,5}市)[㐀-鿿]{1,6}[区县][
 NEAR = re.compile(r"\w+|[^\w\s]|\n")
 BEFORE, AFTER = re.compile(r"([^\W\d_]+)[^\w\n|]*\Z"), re.compile(r"[^\w\n|]*([^\W\d_]+)")
 
-#: Characters of names and names of cities that are learned at most, most frequent first; alphabets, not instances.
+HAN_RUN = re.compile(r"[㐀-鿿]{2,}")
+
+#: Names of cities that are learned at most, most frequent first.
 LEARNED = 5_000
 ROUNDS = 3
+#: What a side without a known pattern says of a Chinese name whose other side has one: less than any pattern that counts.
+EDGE = 0.2
 PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>", "address": "<ADDRESS>", "name": "<NAME>"}
 PARTS = "record_table string, record_id string, part string, text string"
 SPANS = (
     "record_table string, record_id string, part string, text_key bigint, kind string, value string, start int, stop int, "
-    "given string, family string, left string, right string, seed boolean"
+    "given string, family string, left string, right string, seed boolean, base double"
 )
 
 
@@ -158,6 +162,68 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "value"])
 
 
+def _places(text: str, a: int, b: int, starts: set[str], stops: set[str], family: set[str], given: set[str]) -> list[tuple[int, int]]:
+    """2 to 4 characters of the Chinese run from A to B that may be a name: of seeded characters, or in a context.
+
+    A context begins at the run's start or after a word of STARTS and ends at its end or before a word of
+    STOPS. Where such a word has no fitting other side, every length beside it is a candidate.
+    """
+    found = set()
+    for i in range(a, b - 1):
+        if text[i] in family and text[i + 1] in given:
+            found.add((i, i + 2))
+            for j in range(i + 3, min(i + 4, b) + 1):
+                if text[j - 1] not in given:
+                    break
+                found.add((i, j))
+    begin = [i for i in range(a, b - 1) if i == a or i - a >= 2 and text[i - 2 : i] in starts]
+    end = [j for j in range(a + 2, b + 1) if j == b or b - j >= 2 and text[j : j + 2] in stops]
+    found.update((i, j) for i in begin for j in end if 2 <= j - i <= 4)
+    left, right = {i for i, _ in found}, {j for _, j in found}
+    found.update((i, j) for i in begin if i > a and i not in left for j in range(i + 2, min(i + 4, b) + 1))
+    found.update((i, j) for j in end if j < b and j not in right for i in range(max(a, j - 4), j - 1))
+    return sorted(found)
+
+
+def _beside(model):
+    """The two Chinese characters before and after each name of seeded characters, where such stand there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, given = model.value
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                for m in HAN_RUN.finditer(text):
+                    a, b = m.span()
+                    for i, j in _places(text, a, b, set(), set(), family, given):
+                        if text[i] not in family or any(c not in given for c in text[i + 1 : j]):
+                            continue
+                        if i - a >= 2:
+                            rows.append(("L", text[i - 2 : i], text[i:j]))
+                        if b - j >= 2:
+                            rows.append(("R", text[j : j + 2], text[i:j]))
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["side", "word", "value"])
+
+    return run
+
+
+def _near_han(left: str, right: str) -> tuple[str, str]:
+    """Contexts of a Chinese name: words are not set apart there, so that two characters stand for a word beside it, three before a mark."""
+    han = lambda x: "㐀" <= x <= "鿿"
+    if left and han(left[-1]):
+        left = left[-2:] if len(left) > 1 and han(left[-2]) else left[-1]
+    elif " " in left and han(left.split(" ")[0][-1]):
+        word, mark = left.split(" ")
+        left = f"{word[-3:]} {mark}"
+    if right and han(right[0]):
+        right = right[:2] if len(right) > 1 and han(right[1]) else right[0]
+    elif " " in right and han(right.split(" ")[1][0]):
+        mark, word = right.split(" ")
+        right = f"{mark} {word[:2]}"
+    return left, right
+
+
 def _scan(model):
     def context(text: str, a: int, b: int, at: dict[int, str], ends: dict[int, str]) -> tuple[str, str, bool]:
         """Two tokens on either side; a found address or number is one token."""
@@ -202,11 +268,14 @@ def _scan(model):
         return any(m and len(m[1]) > 1 and m[1].isupper() for m in beside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, given, sizes, cities = model.value
-        han = None
-        if family and given:
-            lengths = "|".join(f"[{given}]{{{n - 1}}}" for n in sorted(sizes, reverse=True))
-            han = re.compile(f"[{family}](?:{lengths})")
+        family, given, sizes, starts, stops, cities = model.value
+
+        def base(name: str) -> float:
+            """Of a Chinese name: by characters that seeds have in the same place, and by the share of seeds as long."""
+            known, rest = name[0] in family, sum(c in given for c in name[1:]) / (len(name) - 1)
+            usual = sizes.get(len(name), 0.0)
+            return 0.05 + 0.4 * usual if known and rest == 1 else 0.02 + 0.1 * known + 0.1 * rest + 0.03 * usual
+
         for batch in batches:
             rows = []
             columns = (batch.column(i).to_pylist() for i in range(5))
@@ -214,19 +283,22 @@ def _scan(model):
                 plain = text.translate(FULL_WIDTH)
                 spans = shaped(plain, cities)
                 head = (table, key, part, text_key)
-                rows += [(*head, k, text[a:b], a, b, None, None, None, None, None) for k, a, b in spans]
+                rows += [(*head, k, text[a:b], a, b, None, None, None, None, None, None) for k, a, b in spans]
                 at, ends = {a: k for k, a, _ in spans}, {b: k for k, _, b in spans}
                 names = [
                     (m.start(1), m.end(1), *((m[5], m[2]) if m[4] else (m[2], m[5]))) for m in NAME.finditer(plain)
                 ]
-                names += [(*m.span(), m.group(), "") for m in (han.finditer(plain) if han else ())]
+                for m in HAN_RUN.finditer(plain) if family else ():
+                    names += [(i, j, plain[i:j], "") for i, j in _places(plain, *m.span(), starts, stops, family, given)]
                 for a, b, first, last in names:
                     if any(a < y and x < b for _, x, y in spans) or (last and shouted(plain, a, b)):
                         continue
                     left, right, seed = context(plain, a, b, at, ends)
-                    rows.append((*head, "name", text[a:b], a, b, first.casefold(), last.casefold(), left, right, seed))
-            cols = list(zip(*rows)) or [[]] * 13
-            kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.int32()] * 2 + [pa.string()] * 4 + [pa.bool_()]
+                    if not last:
+                        left, right = _near_han(left, right)
+                    rows.append((*head, "name", text[a:b], a, b, first.casefold(), last.casefold(), left, right, seed, None if last else base(first)))
+            cols = list(zip(*rows)) or [[]] * 14
+            kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.int32()] * 2 + [pa.string()] * 4 + [pa.bool_(), pa.float64()]
             names = [c.split()[0] for c in SPANS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
@@ -240,16 +312,19 @@ def name_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
     different partners it has among seeds. Then, by turns, a pattern (the words before, or after) is worth
     the mean trust of its distinct instances, and an instance gains from its best pattern. A name of
     unknown parts that comes again and again in one or two contexts only (a team, a role) gains nothing.
+    A Chinese name has no parts: its characters and length lend it a little trust (``base``), and one of
+    unseen characters gains from the words before and after together, which also mark its ends.
     """
     edges = stages.keep(
-        candidates.select("given", "family", "seed", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern"))
+        candidates.select("given", "family", "seed", "base", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern"))
         .where(r"pattern rlike '[ <][\\p{L}\\p{N}]'")  # punctuation alone says nothing
         .groupBy("given", "family", "pattern")
-        .agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
+        .agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"), F.max("base").alias("base"))
     )
     single = edges.groupBy("given", "family").agg(
         (F.sum("n") / 2).alias("n"),
         (F.sum("seeds") * 2 >= F.sum("n")).alias("seed"),
+        F.max("base").alias("base"),
         F.countDistinct(F.when(F.col("pattern").startswith("L "), F.substring_index("pattern", " ", -1))).alias("places"),
     )
     seeds = single.where("seed").select("given", "family")
@@ -257,7 +332,7 @@ def name_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
     by_given = seeds.groupBy("given").agg(trust(F.countDistinct("family")).alias("tg"))
     by_family = seeds.where("family != ''").groupBy("family").agg(trust(F.countDistinct("given")).alias("tf"))
     prior = F.when(F.col("seed"), F.lit(0.99)).otherwise(
-        F.when(F.col("family") == "", F.lit(0.45)).otherwise(
+        F.when(F.col("family") == "", F.col("base")).otherwise(
             1 - (1 - 0.9 * F.coalesce("tg", F.lit(0.0))) * (1 - 0.4 * F.coalesce("tf", F.lit(0.0)))
         )
     )
@@ -267,15 +342,23 @@ def name_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
         .select("given", "family", prior.alias("prior"), ((F.col("n") < 4) | (F.col("places") > 2)).alias("open"))
     )
     scores = instances.withColumn("score", F.col("prior"))
+    # an unseen Chinese candidate speaks for a pattern by its score, but hardly against it as long as it may be a name
+    unseen = (F.col("family") == "") & (F.col("prior") < 0.3)
+    counts = F.when(unseen & F.col("open"), F.greatest(F.col("score"), F.lit(0.2))).otherwise(1.0)
     for _ in range(ROUNDS):
         worth = (
             edges.join(scores, ["given", "family"])
             .groupBy("pattern")
-            .agg((F.sum("score") / (F.count("*") + 2)).alias("worth"))
+            .agg((F.sum("score") / (F.sum(counts) + 2)).alias("worth"))
             .where("worth >= 0.1")
         )
-        best = edges.join(worth, "pattern").groupBy("given", "family").agg(F.max("worth").alias("best"))
-        gain = F.when(F.col("prior") >= 0.3, F.col("best")).when(F.col("open") & (F.col("best") >= 0.7), F.col("best"))
+        side = lambda x: F.coalesce(F.max(F.when(F.col("pattern").startswith(x), F.col("worth"))), F.lit(EDGE))
+        best = (
+            edges.join(worth, "pattern").groupBy("given", "family")
+            .agg(F.max("worth").alias("best"), (1 - (1 - side("L ")) * (1 - side("R "))).alias("both"))
+        )
+        least = F.when(F.col("family") == "", F.col("both")).otherwise(F.col("best"))
+        gain = F.when(F.col("prior") >= 0.3, least).when(F.col("open") & (least >= F.when(unseen, 0.6).otherwise(0.7)), least)
         score = 1 - (1 - F.col("prior")) * (1 - 0.8 * F.coalesce(gain, F.lit(0.0)))
         scores = stages.keep(instances.join(best, ["given", "family"], "left").select(*instances.columns, score.alias("score")))
     return scores.select("given", "family", "score")
@@ -288,10 +371,10 @@ def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
     start, stop. Email addresses (also spelled out), telephone, social security, resident and passport
     numbers and street addresses are found by shape, resident numbers by date and check digit too; a
     full-width spelling counts as the usual one. Chinese cities are learned where nothing Chinese stands
-    before them. Names are found by bootstrapping: see ``name_scores``; Chinese candidates are made of the
-    characters of seeded names. Of overlapping names the better one stays.
+    before them. Names are found by bootstrapping: see ``name_scores``; Chinese candidates are 2 to 4 characters
+    in a context, or of the characters of seeded names: see ``_places``. Of overlapping names the better one stays.
 
-    Two passes over the texts; candidates are few and are scored by joins. Null and empty texts give
+    Two passes over the texts and two more over Chinese ones; candidates are scored by joins. Null and empty texts give
     nothing. Repeated rows give their spans once.
     """
     spark = parts.sparkSession
@@ -303,13 +386,21 @@ def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
         .groupBy("kind", "value").agg(F.count("*").alias("n"))
     )
     seeded = found.where("kind = 'name'")
-    chars = lambda c: [r[0] for r in c.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(LEARNED).collect()]
-    family = chars(seeded.select(F.substring("value", 1, 1).alias("c")))
+    chars = lambda c: {r[0] for r in c.distinct().collect()}  # noqa: E731  # no more than the script has
+    family = chars(seeded.select(F.substring("value", 1, 1)))
     given = chars(seeded.select(F.explode(F.split(F.expr("substring(value, 2)"), "")).alias("c")).where("c != ''"))
-    sizes = [r[0] for r in seeded.select(F.length("value")).distinct().collect()]
+    sizes = dict(seeded.groupBy(F.length("value")).count().collect())
+    sizes = {n: c / sum(sizes.values()) for n, c in sizes.items()}
+    beside = (
+        parts.where(r"text rlike '[\\x{3400}-\\x{9FFF}]'").select("text")
+        .mapInArrow(_beside(sc.broadcast((family, given))), "side string, word string, value string")
+        .groupBy("side", "word").agg(F.countDistinct("value").alias("names")).where("names > 1").select("side", "word").collect()
+        if family else []
+    )
+    starts, stops = ({w for s, w in beside if s == side} for side in "LR")
     cities = [r[0] for r in found.where("kind = 'city'").orderBy(F.desc("n"), "value").select("value").limit(LEARNED).collect()]
     own = {c for c in cities if not any(c[i:] in set(cities) for i in range(1, len(c) - 2))}  # no words before a city
-    model = sc.broadcast(("".join(family), "".join(given), set(sizes), own))
+    model = sc.broadcast((family, given, sizes, starts, stops, own))
 
     scan = parts.select("record_table", "record_id", "part", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_scan(model), SPANS)
     spans = stages.keep(scan.distinct())
@@ -318,8 +409,18 @@ def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
     columns = ["record_table", "record_id", "part", "text_key", "kind", "value", "start", "stop"]
     w = Window.partitionBy("record_table", "record_id", "part", "text_key").orderBy("start", "stop")
     beside = lambda f, c: f(c).over(w)
+    # Chinese candidates are up to 4 long, so that those that overlap begin within 3 characters of each other
+    around = Window.partitionBy("record_table", "record_id", "part", "text_key").orderBy("start").rangeBetween(-3, 3)
+    rank = F.struct(F.round("score", 9).alias("score"), (F.col("stop") - F.col("start")).alias("long"), (-F.col("start")).alias("first"), "start", "stop")
+    likely = names.join(scores, ["given", "family"])
+    chinese = (
+        likely.where("family = ''").withColumn("rank", rank)
+        .withColumn("others", F.collect_list("rank").over(around))
+        .where("not exists(others, x -> x.start < stop and start < x.stop and x > rank)")
+        .drop("rank", "others")
+    )
     better = (
-        names.join(scores, ["given", "family"])
+        likely.where("family != ''").unionByName(chinese)
         .withColumn("prev", F.struct(beside(F.lag, "stop").alias("stop"), beside(F.lag, "score").alias("score")))
         .withColumn("next", F.struct(beside(F.lead, "start").alias("start"), beside(F.lead, "score").alias("score")))
         .where("not coalesce(prev.stop > start and prev.score >= score, false)")

@@ -73,6 +73,17 @@ def test_names_are_bootstrapped(spark):
     assert not {"Nightly Runner", "Graph Desk"} & names
 
 
+def test_chinese_names_of_characters_in_no_seed(spark):
+    seeds = [f + g for f in "简车鹿闻楚" for g in ("岚澄", "舟澄", "澄岚")]
+    texts = [f"联系人：{n}\n邮箱：x@lab.example" for n in seeds]
+    texts += [f"今天感谢{f}{g}提供的文件。" for f in "简车鹿闻楚" for g in ("岚舟", "舟岚")]
+    texts += ["今天感谢欧锦荣提供的文件。", "联系人：赵德\n邮箱：未填写", "联系人：欧阳雅婷。", "结论。"]
+    texts += [f"第{i}次。联系人：巡检组。" for i in range(9)]
+    names = {r["value"] for r in pii.personal_spans(parts(spark, texts)).where("kind = 'name'").collect()}
+    assert {*seeds, "简岚舟", "楚舟岚", "欧锦荣", "赵德", "欧阳雅婷"} <= names
+    assert not {x for x in names if x in ("巡检组", "结论", "提供", "邮箱", "未填写", "文件", "简岚", "岚澄")}
+
+
 def test_redaction_alters_nothing_else(spark):
     texts = corpus()
     p = parts(spark, [*texts, None, "", "plain"])
