@@ -219,7 +219,7 @@ def hierarchy(units: DataFrame, task_links: int = TASK_LINKS, ancestors: bool =
 
     Components are found by stars; components of up to ``task_links`` links are co-located, sorted and
     walked depth-first one after another; greater ones are resolved by joins, since one task must not
-    hold an unbounded group, and stand in the second frame only.
+    hold an unbounded group, and stand in the second frame only; ``paths`` and ``back_edges`` cover all components.
     A parent without a row is a root and gets no row. A self link is a cycle; a unit on or below a cycle
     has the single root ``cycle`` at depth -1, and no ancestors. Null ids are ignored. Empty table: no rows.
     """
@@ -245,3 +245,70 @@ def hierarchy(units: DataFrame, task_links: int = TASK_LINKS, ancestors: bool =
             levels = levels.where("depth > 0").withColumnRenamed("root_id", "ancestor_id")
         found = found.unionByName(levels)
     return walked, found
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    """(id, root_id, depth) of each unit's nearest root, ties by id."""
+    return found.groupBy("id").agg(F.min(F.struct("depth", "root_id")).alias("x")).select("id", "x.root_id", "x.depth")
+
+
+def paths(units: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """id, root_id, depth, path of each unit of all components: a shortest way from a root, the unit last.
+
+    Of a unit on or below a cycle root_id is ``cycle``, depth -1 and path null. Of several nearest ways the
+    one that goes through the least parent id comes out, from the unit up. In components beyond a task the
+    paths of one depth are joined to those of the next.
+    """
+    spark = units.sparkSession
+    stages = Stages(spark, "paths")
+    walked, found = hierarchy(units, task_links)
+    nearest = stages.keep(_nearest(found))
+    whole = stages.keep(walked.select("id", "path"))
+    left = nearest.join(whole, "id", "left_anti").where("depth >= 0")
+    known = [whole]
+    if not left.isEmpty():
+        nodes = valid_parents(units)
+        links = nodes.select("id", F.explode("parents").alias("parent"))
+        near = left.join(links, "id").join(nearest.select(F.col("id").alias("parent"), F.col("depth").alias("above")), "parent", "left")
+        via = stages.keep(
+            near.where("coalesce(above, 0) = depth - 1").groupBy("id", "depth").agg(F.min("parent").alias("parent"))
+        )
+        level = stages.keep(left.where("depth = 0").select("id", F.array("id").alias("path")))
+        known.append(level)
+        for depth in range(1, (via.agg(F.max("depth")).first()[0] or 0) + 1):
+            ups = level.select(F.col("id").alias("parent"), F.col("path").alias("to"))
+            path = F.concat(F.coalesce("to", F.array("parent")), F.array("id"))
+            level = stages.keep(via.where(F.col("depth") == depth).join(ups, "parent", "left").select("id", path.alias("path")))
+            known.append(level)
+    every = nearest.select("id", F.col("root_id"), "depth").join(_all(known), "id", "left")
+    # the root is the one that the path begins with
+    return every.select("id", F.coalesce(F.element_at("path", 1), "root_id").alias("root_id"), "depth", "path")
+
+
+def back_edges(units: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """id, parent of links that close a cycle: without them no unit is on or below one.
+
+    Within a task they are those of a depth-first walk. In components beyond a task the links among cyclic
+    units are peeled from both ends, level by level; of what remains, links to a greater id are forward
+    ones and the others go back. That leaves no cycle, but they may be other links than those of a walk,
+    and more of them: those that lead from one cycle to another count too.
+    """
+    stages = Stages(units.sparkSession, "back")
+    walked, found = hierarchy(units, task_links)
+    whole = stages.keep(walked.select("id", "back_edges"))
+    small = whole.select("id", F.explode("back_edges").alias("parent"))
+    cyclic = stages.keep(found.where("depth < 0").select("id").join(whole, "id", "left_anti"))
+    if cyclic.isEmpty():
+        return small
+    links = valid_parents(units).select("id", F.explode("parents").alias("parent"))
+    links = links.join(cyclic, "id", "left_semi").join(cyclic.select(F.col("id").alias("parent")), "parent", "left_semi")
+    links = stages.keep(links.select("id", "parent"))
+    left = links.count()
+    while left:  # a link whose child has no child, or whose parent has no parent, here is on no cycle
+        ups, downs = links.select(F.col("parent").alias("id")).distinct(), links.select(F.col("id").alias("parent")).distinct()
+        links = stages.keep(links.join(ups, "id", "left_semi").join(downs, "parent", "left_semi").select("id", "parent"), replaces=links)
+        now = links.count()
+        if now == left:
+            break
+        left = now
+    return small.unionByName(links.where("parent <= id"))

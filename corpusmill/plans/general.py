@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.io import table
-from corpusmill.operators.hierarchy import CLOSURE_LINKS, hierarchy
+from corpusmill.operators.hierarchy import CLOSURE_LINKS, back_edges, hierarchy, paths
 from corpusmill.operators.snapshots import snapshot_changes
 
 
@@ -36,7 +36,15 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_changed_columns, p2_found, p2_closure, p2_descendants)}
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    return paths(table(spark, d, "graded_units"))
+
+
+def p2_back_edges(spark: SparkSession, d: str) -> DataFrame:
+    return back_edges(table(spark, d, "graded_units"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_changed_columns, p2_found, p2_closure, p2_descendants, p2_paths, p2_back_edges)}
 
 SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 _CHANGES = rf"""

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from corpusmill.io import Stages
-from corpusmill.operators.hierarchy import connected_components, hierarchy, valid_parents
+from corpusmill.operators.hierarchy import back_edges, connected_components, hierarchy, paths, valid_parents
 from tests.conftest import rows
 
 SCHEMA = "id string, revision bigint, inherits_from array<string>, component string, parents string, row string"
@@ -78,6 +78,33 @@ def test_paths_and_back_edges(spark):
     assert walked["f"]["back_edges"] == [] and walked["f"]["cyclic"]
 
 
+@pytest.mark.parametrize("task_links", [200_000, 0])
+def test_paths_and_back_edges_of_all_components(spark, task_links):
+    got = {r["id"]: tuple(r)[1:] for r in paths(units(spark, CASES), task_links).collect()}
+    assert got["d"] == ("lost", 1, ["lost", "d"]) and got["c"] == ("a", 1, ["a", "c"]) and got["a"] == ("a", 0, ["a"])
+    assert got["f"] == got["g"] == ("cycle", -1, None) and len(got) == 9
+    back = rows(back_edges(units(spark, CASES), task_links))
+    assert ("e", "e") in back and len(back) == 2 and set(back) <= {("e", "e"), ("g", "h"), ("h", "g")}
+
+
+@pytest.mark.parametrize("task_links", [200_000, 1])
+def test_no_cycle_is_left_without_back_edges(spark, task_links):
+    rng = random.Random(5)
+    names = [f"n{i:02}" for i in range(24)]
+    parents = {n: sorted(rng.sample(names, rng.choice([0, 1, 1, 2]))) for n in names}
+    df = units(spark, [(n, 1, p) for n, p in parents.items()])
+    best = {}
+    for i, _, d in brute(parents):
+        best[i] = min(d, best.get(i, d))
+    for r in paths(df, task_links).collect():
+        assert r["depth"] == best[r["id"]] and (r["depth"] < 0 or len(r["path"]) == r["depth"] + 1)
+        assert r["depth"] < 0 or all(a in parents[b] for a, b in zip(r["path"], r["path"][1:]))
+    back = rows(back_edges(df, task_links))
+    assert all(p in parents[i] for i, p in back)
+    cut = {n: [p for p in ps if (n, p) not in back] for n, ps in parents.items()}
+    assert all(d >= 0 for _, _, d in brute(cut))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_graphs_against_brute_force(spark, seed):
     rng = random.Random(seed)
