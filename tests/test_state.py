@@ -90,3 +90,15 @@ def test_pages_carry_open_blocks():
     assert scan_page("plain", True) == (5, True)
     assert scan_page("```x``````y```", False) == (2, False)
     assert scan_page("", False) == (0, False)
+
+
+def test_fences_that_page_borders_cut():
+    from corpusmill.streaming.carried import scan_carried, scan_page
+
+    for text in ("ab```cd```ef", "a``b```c`d```", "```x``````y```z``", "````a```", "a```b``"):
+        for size in (1, 2, 3, 5):
+            inside, open_, ticks = 0, False, 0
+            for i in range(0, len(text), size):
+                n, open_, ticks = scan_carried(text[i : i + size], open_, ticks)
+                inside += n
+            assert (inside, open_) == scan_page(text, False)
