@@ -102,3 +102,17 @@ def test_fences_that_page_borders_cut():
                 n, open_, ticks = scan_carried(text[i : i + size], open_, ticks)
                 inside += n
             assert (inside, open_) == scan_page(text, False)
+
+
+def test_scan_holds_every_rule(spark):
+    cases = {
+        "credential-url-userinfo": "https://me:pass1@x.example/a", "credential-bearer": "Bearer abcdefgh12", "credential-password-assignment": "password: 'x y'",
+        "credential-cjk-assignment": "密码是 hunter", "ipv6-address": "at fe80::1 now", "user-path-windows": "C:\\Users\\ana\\x", "user-tilde-path": "cd ~ana",
+        "username-assignment": "owner: ana", "username-flag": "--user ana", "container-command": "docker exec -it web_1 sh", "container-name-assignment": "container: web_1",
+        "hostname-internal-domain": "db.corp", "internal-machine-identifier": "remote 131", "hostname-assignment": "server = db-one", "employee-id": "w12345678",
+        "credential-high-entropy": "aZ3" * 12, "credential-known-format": "glpat-" + "a" * 20,
+    }
+    got = redact.scan(spark.createDataFrame(list(cases.items()), "k string, t string"), "k", "t")
+    assert {r["key"] for r in got.collect() if r["key"] == r["rule"]} == set(cases)
+    none = [("a", "x[:, ::2]"), ("b", "password: <your-password>"), ("c", "a1" * 20), ("d", "--password [REDACTED]")]
+    assert redact.scan(spark.createDataFrame(none, "k string, t string"), "k", "t").count() == 0
