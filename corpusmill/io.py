@@ -42,19 +42,23 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._stage_path = path  # type: ignore[attr-defined]
         if replaces is not None:
             self.drop(replaces)
         return out
 
+    def grow(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds rows to a table of that name and gives all of it, so that a loop's result needs no growing union."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_stage_path", None)
         if path:

@@ -9,7 +9,7 @@ from corpusmill.functions import text as t
 from corpusmill.functions.clean import clean_id
 from corpusmill.io import table
 from corpusmill.operators import ranking, units as u
-from corpusmill.operators.hierarchy import CLOSURE_LINKS, hierarchy
+from corpusmill.operators.hierarchy import closure
 from corpusmill.plans.general import _TREE, SPACE
 
 #: What a caller observes of its own set-up, for the queries on conditions.
@@ -135,7 +135,7 @@ def a03_exclusions(spark: SparkSession, d: str) -> DataFrame:
 def j06_promoted_parents(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "graded_units")
     tiers = u.valid_units(source, "tier").select("id", "tier")
-    above = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1]
+    above = closure(source)
     parents = tiers.where("tier in ('L1', 'L2')").select(F.col("id").alias("ancestor_id"), F.col("tier").alias("parent_tier"))
     return above.join(tiers.where("tier = 'L3'").select("id"), "id").join(parents, "ancestor_id").select("id", "ancestor_id", "parent_tier")
 
@@ -143,7 +143,7 @@ def j06_promoted_parents(spark: SparkSession, d: str) -> DataFrame:
 def j04_unusable_ancestors(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "graded_units")
     status = u.valid_units(source, "status").select(F.col("id").alias("ancestor_id"), F.coalesce("status", F.lit("active")).alias("s"))
-    above = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1].join(status, "ancestor_id", "left")
+    above = closure(source).join(status, "ancestor_id", "left")
     return (
         above.groupBy("id")
         .agg(F.count_if(F.col("s").isNull()).alias("missing"), F.count_if(F.col("s") != "active").alias("inactive"))

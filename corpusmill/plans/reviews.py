@@ -9,7 +9,7 @@ from corpusmill.functions import text as t
 from corpusmill.functions.clean import clean_id
 from corpusmill.io import table
 from corpusmill.operators import ranking, state as st, units as u
-from corpusmill.operators.hierarchy import CLOSURE_LINKS, hierarchy
+from corpusmill.operators.hierarchy import closure, roots
 from corpusmill.operators.snapshots import snapshot_changes
 from corpusmill.plans.general import _CHANGES, _TREE
 from corpusmill.plans.retrieval import _STATUS, _VALID, OBSERVED, ORACLES as RETRIEVAL, V, _queries
@@ -26,7 +26,7 @@ def q02_explain_units(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "graded_units")
     valid = u.valid_units(source, "status", "conditions")
     state = valid.select("id", F.coalesce("status", F.lit("active")).alias("unit_status"))
-    above = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1]
+    above = closure(source)
     named = above.join(state.select(F.col("id").alias("ancestor_id"), F.col("unit_status").alias("s")), "ancestor_id", "left")
     worst = named.groupBy("id").agg(
         F.max(F.col("s").isNull()).alias("lost"), F.max(F.coalesce(F.col("s") == "suspect", F.lit(False))).alias("suspect")
@@ -63,13 +63,13 @@ def j09_successors(spark: SparkSession, d: str) -> DataFrame:
     """The unit at the end of each chain of superseded_by; a chain that turns in a circle ends in ``cycle``."""
     source = table(spark, d, "graded_units")
     chained = source.withColumn("inherits_from", F.when(F.col("superseded_by").isNotNull(), F.array("superseded_by")))
-    return hierarchy(chained)[1].where("depth != 0").select("id", F.col("root_id").alias("successor"), F.col("depth").alias("steps"))
+    return roots(chained).where("depth != 0").select("id", F.col("root_id").alias("successor"), F.col("depth").alias("steps"))
 
 
 def j18_closure_check(spark: SparkSession, d: str) -> DataFrame:
     """Delivered closures against the right ones: pairs that are in both, missing as delivered, or there by mistake."""
     source = table(spark, d, "graded_units")
-    right = hierarchy(source, CLOSURE_LINKS, ancestors=True)[1].select("id", "ancestor_id", F.lit(1).alias("r"))
+    right = closure(source).select("id", "ancestor_id", F.lit(1).alias("r"))
     given = u.valid_units(source, "inherits_from_closure").select("id", F.explode("inherits_from_closure").alias("a"))
     given = given.select("id", clean_id("a").alias("ancestor_id")).where("ancestor_id != ''").distinct().withColumn("g", F.lit(1))
     state = F.when(F.col("g").isNull(), "missing").when(F.col("r").isNull(), "mistaken").otherwise("both")

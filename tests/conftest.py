@@ -10,7 +10,7 @@ from corpusmill.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", cores=4, memory="4g")
+    session = build_session("tests", cores=4, shuffle_partitions=2, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
