@@ -68,20 +68,15 @@ def keys(ids: np.ndarray, starts: np.ndarray, kind: int, repeat: int) -> np.ndar
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact edit distances of the rows of two arrays of windows, all pairs of a row at once."""
-    out = np.zeros(len(a), np.int32)
-    other = np.flatnonzero((a != b).any(axis=1))
-    a, b = a[other], b[other]
     n, width = a.shape
-    last = np.broadcast_to(np.arange(width + 1, dtype=np.int16), (n, width + 1)).copy()
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    last = np.repeat(np.arange(width + 1, dtype=np.int8)[:, None], n, axis=1)
     for i in range(width):
-        row = np.empty_like(last)
-        row[:, 0] = i + 1
-        change = last[:, :-1] + (a[:, i : i + 1] != b)
+        row = np.minimum(last[:-1] + (a[i] != b), last[1:] + np.int8(1))
+        last[0] = i + 1
         for j in range(width):
-            row[:, j + 1] = np.minimum(np.minimum(change[:, j], last[:, j + 1] + 1), row[:, j] + 1)
-        last = row
-    out[other] = last[:, -1]
-    return out
+            last[j + 1] = np.minimum(row[j], last[j] + np.int8(1))
+    return last[-1].astype(np.int32)
 
 
 @lru_cache
