@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
 from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,18 +56,32 @@ NEAR = re.compile(r"\w+|[^\w\s]|\n")
 BEFORE, AFTER = re.compile(r"([^\W\d_]+)[^\w\n|]*\Z"), re.compile(r"[^\w\n|]*([^\W\d_]+)")
 
 HAN_RUN = re.compile(r"[㐀-鿿]{2,}")
-
-#: Names of cities that are learned at most, most frequent first.
-LEARNED = 5_000
-ROUNDS = 3
+BEFORE_CITY = re.compile(r"([㐀-鿿]{2,9}市)\Z")
+
+# Loose forms of identifiers, of which only those come out that stand where known ones stand.
+LOOSE = {
+    "email": re.compile(r"(?<![\w.@/+-])[A-Za-z0-9][\w.+-]{0,63} ?(?:@|[\[(](?i:at)[\])]) ?[A-Za-z0-9][\w.-]{0,250}[A-Za-z0-9](?![\w@-])"),
+    "phone": re.compile(r"(?<![\w.+-])[+(]?\d(?:[ ()./-]{0,2}\d){6,14}(?![\w-]|\.\d)"),
+    "id_number": re.compile(r"(?<![\w/.-])(?=[A-Z0-9 -]*\d{3})[A-Z0-9]{2,12}(?:[ -][A-Z0-9]{2,8}){0,3}(?![\w/-]|\.\d)"),
+    "address": re.compile(r"(?<![\w./-])\d{1,5}[A-Za-z]? (?:[A-Z][\w'’-]*,? ){1,5}[A-Z][\w'’-]+(?:,? [A-Z]{2})? ?\d{4,5}(?!\w)"),
+}
+#: Characters before a name by which copies of a text are told.
+AROUND = 80
+#: Scores are taken by turns until none moves by more.
+SETTLED, MOST_ROUNDS = 0.01, 50
+#: What an identifier of a known form, and one of a loose form, is trusted before any context is known.
+KNOWN_FORM, LOOSE_FORM = 0.97, 0.1
+#: Rows of spans by text up to which they are broadcast to the texts, not joined by shuffles.
+BROADCAST_TEXTS = 100_000
 #: What a side without a known pattern says of a Chinese name whose other side has one: less than any pattern that counts.
 EDGE = 0.2
 PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>", "address": "<ADDRESS>", "name": "<NAME>"}
 PARTS = "record_table string, record_id string, part string, text string"
 SPANS = (
     "record_table string, record_id string, part string, text_key bigint, kind string, value string, start int, stop int, "
-    "given string, family string, left string, right string, seed boolean, base double"
+    "given string, family string, left string, right string, seed boolean, base double, city string, around bigint"
 )
+KEYS = ["record_table", "record_id", "part", "text_key"]
 
 
 def _walk(value, path: str = "") -> Iterator[tuple[str, str]]:
@@ -79,17 +95,31 @@ def _walk(value, path: str = "") -> Iterator[tuple[str, str]]:
         yield path, value
 
 
+STRING = re.compile(r'"((?:[^"\\]|\\.)*)("|\\?\Z)\s*(:?)', re.S)
+
+
+def _readable(doc: str) -> Iterator[tuple[str, str]]:
+    """The text values of a document that does not parse: all its strings but keys, the last one up to where it is cut."""
+    for n, m in enumerate(STRING.finditer(doc)):
+        if not m[3]:
+            raw = m[1] if m[2] == '"' else re.sub(r"\\u[0-9a-fA-F]{0,3}\Z", "", m[1])
+            try:
+                yield f"#{n}", json.loads(f'"{raw}"', strict=False)
+            except ValueError:  # an escape that is none
+                yield f"#{n}", raw
+
+
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record_id, JSON text) -> its text values; of a text with a broken end the values up to the end of the document."""
+    """(record_id, JSON text) -> its text values; of a broken document those before the damage, or whatever strings it holds."""
     decoder = json.JSONDecoder()
     for batch in batches:
         rows = []
         for key, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             try:
-                value = decoder.raw_decode(doc.lstrip())[0]
+                found = _walk(decoder.raw_decode(doc.lstrip())[0])
             except (ValueError, RecursionError):
-                continue
-            rows += [("entries", key, path, text) for path, text in _walk(value)]
+                found = _readable(doc)
+            rows += [("entries", key, path, text) for path, text in found]
         cols = list(zip(*rows)) or [[]] * 4
         names = ["record_table", "record_id", "part", "text"]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
@@ -116,34 +146,44 @@ def resident_number(x: str) -> bool:
     return 1900 <= int(x[6:10]) <= 2100 and x[17].upper() == "10X98765432"[total]
 
 
-def shaped(text: str, cities: set[str]) -> list[tuple[str, int, int]]:
-    """Spans with a shape of their own, in order of precedence; none overlaps an earlier one."""
-    found: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+class Spans:
+    """Spans that do not overlap, in order of their places."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.found: list[tuple[int, int, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return not i or self.found[i - 1][1] <= a
 
-    def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-            found.append((kind, a, b))
+    def add(self, kind: str, a: int, b: int) -> None:
+        if self.free(a, b):
+            i = bisect_left(self.starts, a)
+            self.starts.insert(i, a)
+            self.found.insert(i, (a, b, kind))
 
+
+def shaped(text: str) -> Spans:
+    """Spans of a known form, in order of precedence; none overlaps an earlier one. A Chinese address begins with the last
+    three characters of its city at most, see ``personal_spans``."""
+    spans = Spans()
     for m in EMAIL.finditer(text):
-        add("email", *m.span())
+        spans.add("email", *m.span())
     for m in RESIDENT.finditer(text):
         if resident_number(m.group()):
-            add("id_number", *m.span())
+            spans.add("id_number", *m.span())
     for m in PASSPORT.finditer(text):
-        add("id_number", *m.span())
+        spans.add("id_number", *m.span())
     for m in ADDRESS.finditer(text):
-        add("address", *m.span())
+        spans.add("address", *m.span())
     for m in HAN_ADDRESS.finditer(text) if "市" in text else ():
-        city = m.group(1)
-        keep = next((len(city) - i for i in range(len(city) - 1) if city[i:] in cities), min(3, len(city)))
-        add("address", m.end(1) - keep, m.end())
+        spans.add("address", max(m.start(), m.end(1) - 3), m.end())
     for m in PHONE.finditer(text):
-        add("phone", *m.span())
+        spans.add("phone", *m.span())
     for m in SOCIAL.finditer(text):
-        add("id_number", *m.span())
-    return found
+        spans.add("id_number", *m.span())
+    return spans
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +264,10 @@ def _near_han(left: str, right: str) -> tuple[str, str]:
     return left, right
 
 
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def _scan(model):
     def context(text: str, a: int, b: int, at: dict[int, str], ends: dict[int, str]) -> tuple[str, str, bool]:
         """Two tokens on either side; a found address or number is one token."""
@@ -242,6 +286,9 @@ def _scan(model):
             m = list(NEAR.finditer(text, max(0, j - 40), j))
             if not m or m[-1].end() != j:
                 break
+            if m[-1].start() == j - 40:  # longer than that
+                left.append("<long>")
+                break
             left.append(m[-1].group().lower())
             i = m[-1].start()
         i = b
@@ -268,7 +315,7 @@ def _scan(model):
         return any(m and len(m[1]) > 1 and m[1].isupper() for m in beside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, given, sizes, starts, stops, cities = model.value
+        family, given, sizes, starts, stops = model.value
 
         def base(name: str) -> float:
             """Of a Chinese name: by characters that seeds have in the same place, and by the share of seeds as long."""
@@ -281,53 +328,109 @@ def _scan(model):
             columns = (batch.column(i).to_pylist() for i in range(5))
             for table, key, part, text, text_key in zip(*columns):
                 plain = text.translate(FULL_WIDTH)
-                spans = shaped(plain, cities)
+                spans = shaped(plain)
                 head = (table, key, part, text_key)
-                rows += [(*head, k, text[a:b], a, b, None, None, None, None, None, None) for k, a, b in spans]
-                at, ends = {a: k for k, a, _ in spans}, {b: k for k, _, b in spans}
+                at, ends = {a: k for a, _, k in spans.found}, {b: k for _, b, k in spans.found}
+                for a, b, kind in spans.found:
+                    left, right, _ = context(plain, a, b, at, ends)
+                    city = None
+                    if kind == "address" and (m := BEFORE_CITY.search(plain, max(0, a - 6), min(b, a + 3))):
+                        city = m[1]
+                    rows.append((*head, kind, text[a:b], a, b, None, None, left, right, True, None, city, None))
+                for kind, pattern in LOOSE.items():
+                    for m in pattern.finditer(plain):
+                        a, b = m.span()
+                        if spans.free(a, b):
+                            left, right, _ = context(plain, a, b, at, ends)
+                            if any(c.isalpha() for c in left):
+                                rows.append((*head, kind, text[a:b], a, b, None, None, left, right, False, None, None, None))
                 names = [
                     (m.start(1), m.end(1), *((m[5], m[2]) if m[4] else (m[2], m[5]))) for m in NAME.finditer(plain)
                 ]
                 for m in HAN_RUN.finditer(plain) if family else ():
                     names += [(i, j, plain[i:j], "") for i, j in _places(plain, *m.span(), starts, stops, family, given)]
                 for a, b, first, last in names:
-                    if any(a < y and x < b for _, x, y in spans) or (last and shouted(plain, a, b)):
+                    if not spans.free(a, b) or (last and shouted(plain, a, b)):
                         continue
                     left, right, seed = context(plain, a, b, at, ends)
                     if not last:
                         left, right = _near_han(left, right)
-                    rows.append((*head, "name", text[a:b], a, b, first.casefold(), last.casefold(), left, right, seed, None if last else base(first)))
-            cols = list(zip(*rows)) or [[]] * 14
-            kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.int32()] * 2 + [pa.string()] * 4 + [pa.bool_(), pa.float64()]
+                    rows.append((*head, "name", text[a:b], a, b, first.casefold(), last.casefold(), left, right, seed, None if last else base(first), None, hash_of(plain[max(0, a - AROUND) : a])))
+            cols = list(zip(*rows)) or [[]] * 16
+            kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.int32()] * 2 + [pa.string()] * 4 + [pa.bool_(), pa.float64(), pa.string(), pa.int64()]
             names = [c.split()[0] for c in SPANS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     return run
 
 
+def _edges(candidates: DataFrame, *instance: str) -> DataFrame:
+    """Of candidates the patterns they stand in: the words before, and those after. Punctuation alone says nothing."""
+    sides = F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))
+    return candidates.select(*instance, F.explode(sides).alias("pattern")).where(r"pattern rlike '[ <][\\p{L}\\p{N}]'").distinct()
+
+
+def _settled(instances: DataFrame, step, stages: Stages) -> DataFrame:
+    """Scores of instances by turns with those of patterns, until none moves by more than SETTLED."""
+    scores = instances.withColumn("score", F.col("prior")).withColumn("pattern", F.lit(None).cast("string"))
+    for _ in range(MOST_ROUNDS):
+        new = stages.keep(step(scores.drop("pattern")).withColumn("moved", F.abs(F.col("score") - F.col("before"))).drop("before"))
+        scores = new.drop("moved")
+        if (new.agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
+            return scores
+    return scores
+
+
+def value_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
+    """(kind, value, score, pattern) of email addresses, telephone and identity numbers and street addresses.
+
+    Values of a known form are the seeds: the words before them are the patterns of their kind. By turns, a pattern is
+    worth the mean score of the distinct values that stand in it, and a value gains from its best pattern;
+    one of a loose form comes out where it stands in patterns of known ones only.
+    """
+    instance = ["kind", "value"]
+    edges = _edges(candidates.withColumn("right", F.lit("")), *instance, "seed")  # what stands after says little of a number
+    induced = edges.where("seed").select("kind", "pattern").distinct()
+    edges = stages.keep(edges.join(induced, ["kind", "pattern"], "left_semi").select(*instance, "pattern"))
+    single = candidates.groupBy(*instance).agg(F.max("seed").alias("seed"))
+    prior = F.when(F.col("seed"), F.lit(KNOWN_FORM)).otherwise(F.lit(LOOSE_FORM))
+    loose = edges.select(*instance).distinct().withColumn("met", F.lit(True))  # others keep what they have
+    instances = stages.keep(single.join(loose, instance, "left").where("seed or met").select(*instance, prior.alias("prior")))
+
+    def step(scores: DataFrame) -> DataFrame:
+        worth = (
+            edges.join(scores, instance).groupBy("kind", "pattern").agg((F.sum("score") / (F.count("*") + 2)).alias("worth")).where("worth >= 0.6")
+        )
+        best = edges.join(worth, ["kind", "pattern"]).groupBy(*instance).agg(F.max("worth").alias("gain"), F.max_by("pattern", F.struct("worth", "pattern")).alias("pattern"))
+        score = 1 - (1 - F.col("prior")) * (1 - 0.8 * F.coalesce("gain", F.lit(0.0)))
+        return scores.withColumnRenamed("score", "before").join(best, instance, "left").select(*instance, "prior", "before", score.alias("score"), "pattern")
+
+    return _settled(instances, step, stages).select(*instance, "score", "pattern")
+
+
 def name_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
-    """(given, family, score) of candidates, by turns with the contexts they stand in.
+    """(given, family, score, pattern) of candidates, by turns with the contexts they stand in.
 
     Seeds are names that lead to an email address most times they stand anywhere. A seeded part of a name lends trust by the number of
     different partners it has among seeds. Then, by turns, a pattern (the words before, or after) is worth
     the mean trust of its distinct instances, and an instance gains from its best pattern. A name of
-    unknown parts that comes again and again in one or two contexts only (a team, a role) gains nothing.
+    unknown parts that comes again and again in different texts after one or two different words only (a
+    team, a role) gains nothing; where most of its occurrences have the same text before them, they are
+    copies and say no such thing.
     A Chinese name has no parts: its characters and length lend it a little trust (``base``), and one of
     unseen characters gains from the words before and after together, which also mark its ends.
     """
-    edges = stages.keep(
-        candidates.select("given", "family", "seed", "base", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern"))
-        .where(r"pattern rlike '[ <][\\p{L}\\p{N}]'")  # punctuation alone says nothing
-        .groupBy("given", "family", "pattern")
-        .agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"), F.max("base").alias("base"))
-    )
-    single = edges.groupBy("given", "family").agg(
-        (F.sum("n") / 2).alias("n"),
-        (F.sum("seeds") * 2 >= F.sum("n")).alias("seed"),
+    instance = ["given", "family"]
+    edges = stages.keep(_edges(candidates, *instance))
+    before = F.substring_index("left", " ", -1)
+    single = candidates.groupBy(*instance).agg(
+        F.countDistinct("around").alias("n"),
+        F.count("*").alias("all"),
+        (F.count_if("seed") * 2 >= F.count("*")).alias("seed"),
         F.max("base").alias("base"),
-        F.countDistinct(F.when(F.col("pattern").startswith("L "), F.substring_index("pattern", " ", -1))).alias("places"),
+        F.countDistinct(F.when(before.rlike(r"^<?[\p{L}\p{N}]"), before)).alias("places"),
     )
-    seeds = single.where("seed").select("given", "family")
+    seeds = single.where("seed").select(*instance)
     trust = lambda n: n / (n + 1)
     by_given = seeds.groupBy("given").agg(trust(F.countDistinct("family")).alias("tg"))
     by_family = seeds.where("family != ''").groupBy("family").agg(trust(F.countDistinct("given")).alias("tf"))
@@ -339,40 +442,55 @@ def name_scores(candidates: DataFrame, stages: Stages) -> DataFrame:
     instances = stages.keep(
         single.join(by_given, "given", "left")
         .join(by_family, "family", "left")
-        .select("given", "family", prior.alias("prior"), ((F.col("n") < 4) | (F.col("places") > 2)).alias("open"))
+        .select(*instance, prior.alias("prior"), ((F.col("n") < 4) | (F.col("n") < 0.5 * F.col("all")) | (F.col("places") > 2)).alias("open"))
     )
-    scores = instances.withColumn("score", F.col("prior"))
     # an unseen Chinese candidate speaks for a pattern by its score, but hardly against it as long as it may be a name
     unseen = (F.col("family") == "") & (F.col("prior") < 0.3)
     counts = F.when(unseen & F.col("open"), F.greatest(F.col("score"), F.lit(0.2))).otherwise(1.0)
-    for _ in range(ROUNDS):
+    side = lambda x: F.coalesce(F.max(F.when(F.col("pattern").startswith(x), F.col("worth"))), F.lit(EDGE))
+
+    def step(scores: DataFrame) -> DataFrame:
         worth = (
-            edges.join(scores, ["given", "family"])
+            edges.join(scores, instance)
             .groupBy("pattern")
             .agg((F.sum("score") / (F.sum(counts) + 2)).alias("worth"))
             .where("worth >= 0.1")
         )
-        side = lambda x: F.coalesce(F.max(F.when(F.col("pattern").startswith(x), F.col("worth"))), F.lit(EDGE))
         best = (
-            edges.join(worth, "pattern").groupBy("given", "family")
-            .agg(F.max("worth").alias("best"), (1 - (1 - side("L ")) * (1 - side("R "))).alias("both"))
+            edges.join(worth, "pattern").groupBy(*instance)
+            .agg(F.max("worth").alias("best"), (1 - (1 - side("L ")) * (1 - side("R "))).alias("both"), F.max_by("pattern", F.struct("worth", "pattern")).alias("pattern"))
         )
         least = F.when(F.col("family") == "", F.col("both")).otherwise(F.col("best"))
         gain = F.when(F.col("prior") >= 0.3, least).when(F.col("open") & (least >= F.when(unseen, 0.6).otherwise(0.7)), least)
         score = 1 - (1 - F.col("prior")) * (1 - 0.8 * F.coalesce(gain, F.lit(0.0)))
-        scores = stages.keep(instances.join(best, ["given", "family"], "left").select(*instances.columns, score.alias("score")))
-    return scores.select("given", "family", "score")
+        joined = scores.withColumnRenamed("score", "before").join(best, instance, "left")
+        return joined.select(*instance, "prior", "open", "before", score.alias("score"), "pattern")
+
+    return _settled(instances, step, stages).select(*instance, "score", "pattern")
+
+
+def _with_cities(addresses: DataFrame, cities: DataFrame) -> DataFrame:
+    """Chinese addresses, moved to the start of the longest learned city that their run of characters ends with."""
+    ends = F.expr("transform(sequence(1, length(city) - 2), i -> substring(city, i))")
+    named = addresses.where("city is not null").select("city").distinct().select("city", F.explode(ends).alias("name"))
+    known = named.join(cities, "name", "left_semi").groupBy("city").agg(F.max(F.length("name")).alias("keep"))
+    return addresses.join(known, "city", "left")
 
 
-def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
+def personal_spans(parts: DataFrame, least: float = 0.5, hidden: float = 0.0) -> DataFrame:
     """Personal information in texts (record_table, record_id, part, text): one row a span.
 
     Result: record_table, record_id, part, text_key (a value of the text), kind, value (as it stands),
-    start, stop. Email addresses (also spelled out), telephone, social security, resident and passport
-    numbers and street addresses are found by shape, resident numbers by date and check digit too; a
-    full-width spelling counts as the usual one. Chinese cities are learned where nothing Chinese stands
-    before them. Names are found by bootstrapping: see ``name_scores``; Chinese candidates are 2 to 4 characters
-    in a context, or of the characters of seeded names: see ``_places``. Of overlapping names the better one stays.
+    start, stop, score, pattern (the best context it stands in, null where none is worth anything).
+
+    All kinds are bootstrapped. Of email addresses (also spelled out), telephone, social security, resident
+    and passport numbers and street addresses the known forms are seeds (resident numbers by date and check
+    digit too; a full-width spelling counts as the usual one); loose forms come out where they stand in
+    their patterns, see ``value_scores``. A Chinese address begins with a city learned where nothing Chinese
+    stands before it, else with three characters. Names: see ``name_scores``; Chinese candidates are 2 to 4
+    characters in a context, or of the characters of seeded names: see ``_places``. Of overlapping spans the
+    better one stays. ``hidden`` is a share of the values of known form that are taken as loose, to measure
+    how many are found by their contexts.
 
     Two passes over the texts and two more over Chinese ones; candidates are scored by joins. Null and empty texts give
     nothing. Repeated rows give their spans once.
@@ -398,19 +516,31 @@ def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
         if family else []
     )
     starts, stops = ({w for s, w in beside if s == side} for side in "LR")
-    cities = [r[0] for r in found.where("kind = 'city'").orderBy(F.desc("n"), "value").select("value").limit(LEARNED).collect()]
-    own = {c for c in cities if not any(c[i:] in set(cities) for i in range(1, len(c) - 2))}  # no words before a city
-    model = sc.broadcast((family, given, sizes, starts, stops, own))
+    model = sc.broadcast((family, given, sizes, starts, stops))
 
     scan = parts.select("record_table", "record_id", "part", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_scan(model), SPANS)
     spans = stages.keep(scan.distinct())
+    columns = [*KEYS, "kind", "value", "start", "stop", "score", "pattern"]
+
+    values = spans.where("kind != 'name'")
+    if hidden:
+        kept = F.pmod(F.xxhash64("value"), F.lit(1000)) >= int(1000 * hidden)
+        values = values.withColumn("seed", F.col("seed") & kept)
+    scored = values.join(value_scores(values, stages).where(F.col("score") >= least), ["kind", "value"])
+    seen = found.where("kind = 'city'").select(F.col("value").alias("name"))
+    tails = F.expr("transform(sequence(2, length(name) - 2), i -> substring(name, i))")
+    longer = seen.where("length(name) > 3").select("name", F.explode(tails).alias("tail")).join(seen.select(F.col("name").alias("tail")), "tail", "left_semi")
+    cities = seen.join(longer.select("name").distinct(), "name", "left_anti")  # of 'at X city' and 'X city' the latter
+    scored = _with_cities(scored, cities).withColumn("before", F.coalesce(F.col("keep") - F.least(F.lit(3), F.length("city")), F.lit(0)))
+    scored = scored.withColumn("value", F.when(F.col("before") > 0, F.concat(F.expr("substring(city, length(city) - keep + 1, before)"), "value")).when(F.col("before") < 0, F.expr("substring(value, 1 - before)")).otherwise(F.col("value")))
+    scored = scored.withColumn("start", F.col("start") - F.col("before"))
+
     names = spans.where("kind = 'name'")
     scores = name_scores(names, stages).where(F.col("score") >= least)
-    columns = ["record_table", "record_id", "part", "text_key", "kind", "value", "start", "stop"]
-    w = Window.partitionBy("record_table", "record_id", "part", "text_key").orderBy("start", "stop")
+    w = Window.partitionBy(*KEYS).orderBy("start", "stop")
     beside = lambda f, c: f(c).over(w)
     # Chinese candidates are up to 4 long, so that those that overlap begin within 3 characters of each other
-    around = Window.partitionBy("record_table", "record_id", "part", "text_key").orderBy("start").rangeBetween(-3, 3)
+    around = Window.partitionBy(*KEYS).orderBy("start").rangeBetween(-3, 3)
     rank = F.struct(F.round("score", 9).alias("score"), (F.col("stop") - F.col("start")).alias("long"), (-F.col("start")).alias("first"), "start", "stop")
     likely = names.join(scores, ["given", "family"])
     chinese = (
@@ -419,22 +549,28 @@ def personal_spans(parts: DataFrame, least: float = 0.5) -> DataFrame:
         .where("not exists(others, x -> x.start < stop and start < x.stop and x > rank)")
         .drop("rank", "others")
     )
+    # what has a known form stays, whatever stands across it
+    sure = F.when(F.col("seed") & (F.col("kind") != "name"), F.col("score") + 1).otherwise(F.col("score"))
+    every = likely.where("family != ''").unionByName(chinese).select(*columns, "seed").unionByName(scored.select(*columns, "seed"))
     better = (
-        likely.where("family != ''").unionByName(chinese)
-        .withColumn("prev", F.struct(beside(F.lag, "stop").alias("stop"), beside(F.lag, "score").alias("score")))
-        .withColumn("next", F.struct(beside(F.lead, "start").alias("start"), beside(F.lead, "score").alias("score")))
-        .where("not coalesce(prev.stop > start and prev.score >= score, false)")
-        .where("not coalesce(next.start < stop and next.score > score, false)")
+        every.withColumn("sure", sure)
+        .withColumn("prev", F.struct(beside(F.lag, "stop").alias("stop"), beside(F.lag, "sure").alias("sure")))
+        .withColumn("next", F.struct(beside(F.lead, "start").alias("start"), beside(F.lead, "sure").alias("sure")))
+        .where("not coalesce(prev.stop > start and prev.sure >= sure, false)")
+        .where("not coalesce(next.start < stop and next.sure > sure, false)")
     )
-    return spans.where("kind != 'name'").select(columns).unionByName(better.select(columns))
+    return better.select(columns)
 
 
 def redacted(parts: DataFrame, spans: DataFrame) -> DataFrame:
-    """The texts that hold spans, with a placeholder in place of each, and nothing else altered: PARTS' columns."""
-    keys = ["record_table", "record_id", "part", "text_key"]
+    """The texts that hold spans, with a placeholder in place of each, and nothing else altered: PARTS' columns.
+
+    Repeated rows come out each. Spans are gathered by text and sent to the texts while they are of at most
+    BROADCAST_TEXTS texts; beyond that both are shuffled.
+    """
     marks = F.create_map(*[F.lit(x) for x in chain.from_iterable(PLACEHOLDERS.items())])
     row = F.struct("start", "stop", marks[F.col("kind")].alias("mark"))
-    lists = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("spans"))
+    lists = Stages(parts.sparkSession, "redacted").keep(spans.groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("spans")))
     state = "struct<text: string, done: int>"
     from_ = F.struct(F.lit("").alias("text"), F.lit(0).alias("done")).cast(state)
 
@@ -443,5 +579,7 @@ def redacted(parts: DataFrame, spans: DataFrame) -> DataFrame:
         return F.struct(F.concat(s["text"], kept, x["mark"]).alias("text"), x["stop"].alias("done")).cast(state)
 
     rest = lambda s: F.concat(s["text"], F.substring("text", s["done"] + 1, F.length("text")))
-    hold = parts.withColumn("text_key", F.xxhash64("text")).distinct().join(lists, keys)
-    return hold.select("record_table", "record_id", "part", F.aggregate("spans", from_, put, rest).alias("text"))
+    sent = F.broadcast(lists) if lists.count() <= BROADCAST_TEXTS else lists
+    keyed = parts.withColumn("text_key", F.xxhash64("text"))
+    hold = keyed.join(sent, on=[keyed[k].eqNullSafe(sent[k]) if k == "record_id" else keyed[k] == sent[k] for k in KEYS])
+    return hold.select(*[keyed[c] for c in ("record_table", "record_id", "part")], F.aggregate("spans", from_, put, rest).alias("text"))

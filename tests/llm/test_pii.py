@@ -6,9 +6,9 @@ from corpusmill.llm import pii
 from tests.conftest import rows
 
 
-def kinds(text, cities=frozenset()):
+def kinds(text):
     plain = text.translate(pii.FULL_WIDTH)
-    return sorted((k, text[a:b]) for k, a, b in pii.shaped(plain, set(cities)))
+    return sorted((k, text[a:b]) for a, b, k in pii.shaped(plain).found)
 
 
 @pytest.mark.parametrize(
@@ -39,10 +39,25 @@ def test_shapes(text, want):
     assert kinds(text) == sorted(want)
 
 
-def test_chinese_address_with_and_without_a_known_city():
-    assert kinds("请寄到青汀市松间区石桥路441号24栋。", {"青汀市"}) == [("address", "青汀市松间区石桥路441号24栋")]
-    assert kinds("寄松原口市松间区石桥路4号。", {"松原口市"}) == [("address", "松原口市松间区石桥路4号")]
-    assert kinds("到青汀市松间区石桥路4号3单元9室") == [("address", "青汀市松间区石桥路4号3单元9室")]
+def test_chinese_address_with_and_without_a_known_city(spark):
+    texts = ["地址：青汀市松间区石桥路4号", "松原口市松间区石桥路4号。", "请寄到青汀市松间区石桥路441号24栋。", "寄松原口市松间区石桥路5号3单元9室", "请把它们都寄长洲市松间区石桥路6号"]
+    got = [(r["record_id"], r["value"], r["start"]) for r in pii.personal_spans(parts(spark, texts)).orderBy("record_id").collect()]
+    assert got == [
+        ("u0", "青汀市松间区石桥路4号", 3), ("u1", "松原口市松间区石桥路4号", 0), ("u2", "青汀市松间区石桥路441号24栋", 3),
+        ("u3", "松原口市松间区石桥路5号3单元9室", 1), ("u4", "长洲市松间区石桥路6号", 6),
+    ]
+    assert all(texts[int(i[1:])][a : a + len(v)] == v for i, v, a in got)
+
+
+def test_loose_forms_in_contexts_of_known_ones(spark):
+    texts = [f"My direct line: 212-555-01{i:02} if needed." for i in range(40)] + ["My direct line: 5550 19 77 123 if needed.", "Rows: 5550 19 77 124 in all."]
+    texts += [f"Her passport number is QZ41979{i:02}." for i in range(40)] + ["Her passport number is 4197-QX-910.", "Build no. 4197-QX-911."]
+    texts += [f"Write to u{i}@lab.example today." for i in range(40)] + ["Write to ana@mailhost today.", "Log in as ana@nodehost today."]
+    spans = pii.personal_spans(parts(spark, texts))
+    loose = {(r["kind"], r["value"]) for r in spans.where("score < 0.9").collect()}
+    assert loose == {("phone", "5550 19 77 123"), ("id_number", "4197-QX-910"), ("email", "ana@mailhost")}
+    hidden = pii.personal_spans(parts(spark, texts), hidden=0.3).where("score < 0.95")
+    assert hidden.where("pattern is null").count() == 0 and hidden.count() >= 15
 
 
 def parts(spark, texts):
@@ -58,7 +73,7 @@ FAMILY = ["Wendholt", "Raskby", "Ilvish", "Tandova", "Grynaux"]
 def corpus():
     texts = [f"| {g} {f} | {g.lower()}@lab.example | 212-555-0101 |" for g in GIVEN for f in FAMILY[:3]]
     texts += [f"Reported by {g} {f}." for g in GIVEN for f in FAMILY[2:]]
-    texts += ["Reported by Nightly Runner."] * 9
+    texts += [f"Run {i} is done. Reported by Nightly Runner." for i in range(9)]
     texts += ["Reported by Zelda Umbrix.", "Thanks to BELA K. TANDOVA for it.", "Ask Grynaux, Dora first.", "Owner: Graph Desk"]
     texts += [f"联系人：{n}\n邮箱：x@lab.example" for n in ("简岚澄", "车澄岚", "鹿岚舟", "简舟澄")]
     texts += ["感谢鹿舟岚提供的文件。", "感谢车岚舟提供的文件。", "由自动流程复核。"]
@@ -79,8 +94,9 @@ def test_chinese_names_of_characters_in_no_seed(spark):
     texts += [f"今天感谢{f}{g}提供的文件。" for f in "简车鹿闻楚" for g in ("岚舟", "舟岚")]
     texts += ["今天感谢欧锦荣提供的文件。", "联系人：赵德\n邮箱：未填写", "联系人：欧阳雅婷。", "结论。"]
     texts += [f"第{i}次。联系人：巡检组。" for i in range(9)]
+    texts += [f"副本。联系人：郝宁川。{i}" for i in range(60)]  # copies of one text do not make a team
     names = {r["value"] for r in pii.personal_spans(parts(spark, texts)).where("kind = 'name'").collect()}
-    assert {*seeds, "简岚舟", "楚舟岚", "欧锦荣", "赵德", "欧阳雅婷"} <= names
+    assert {*seeds, "简岚舟", "楚舟岚", "欧锦荣", "赵德", "欧阳雅婷", "郝宁川"} <= names
     assert not {x for x in names if x in ("巡检组", "结论", "提供", "邮箱", "未填写", "文件", "简岚", "岚澄")}
 
 
@@ -104,13 +120,14 @@ def test_documents_are_decoded(spark):
     docs = [
         ("a", json.dumps({"k@x.example": "v", "c": {"n": ["中 a@lab.example"]}, "n": 1})),
         ("b", '{"c": "b@lab.example"}}'),
-        ("c", '{"c": "cut'),
+        ("c", '{"c": "cut a@lab.example", "d": ["x\\n y", "half \\u4'),
         ("d", ""),
         ("e", "null"),
     ]
     df = spark.createDataFrame(docs, "entry_id string, doc string").mapInArrow(pii._values, pii.PARTS)
     assert rows(df) == [
         ("entries", "a", "/c/n/0", "中 a@lab.example"), ("entries", "a", "/k@x.example", "v"), ("entries", "b", "/c", "b@lab.example"),
+        ("entries", "c", "#1", "cut a@lab.example"), ("entries", "c", "#3", "x\n y"), ("entries", "c", "#4", "half "),
     ]
 
 
