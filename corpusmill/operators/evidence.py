@@ -21,7 +21,7 @@ def pareto_frontier(candidates: DataFrame, group: str, good: str, cost: str) ->
 
 
 def retention(cases: DataFrame, group: str, margin: float = 0.0) -> DataFrame:
-    """Of each group: both_pass, opt_regression, opt_improvement, both_fail, evaluation_error, retention, speedup, guard_ok.
+    """Of each group: kept_pass, lost, gained, kept_fail, faulty, retention, speedup, guard_ok.
 
     cases: baseline_pass, candidate_pass, baseline_ms, candidate_ms, guard. Null flags and times that are
     given but not positive are evaluation errors. The speedup is the geometric mean over cases that pass
@@ -30,18 +30,18 @@ def retention(cases: DataFrame, group: str, margin: float = 0.0) -> DataFrame:
     bad = F.col("baseline_pass").isNull() | F.col("candidate_pass").isNull()
     bad = bad | F.coalesce((F.col("baseline_ms") <= 0) | (F.col("candidate_ms") <= 0), F.lit(False))
     bucket = (
-        F.when(bad, "evaluation_error")
-        .when(F.col("baseline_pass") & F.col("candidate_pass"), "both_pass")
-        .when(F.col("baseline_pass"), "opt_regression")
-        .when(F.col("candidate_pass"), "opt_improvement")
-        .otherwise("both_fail")
+        F.when(bad, "faulty")
+        .when(F.col("baseline_pass") & F.col("candidate_pass"), "kept_pass")
+        .when(F.col("baseline_pass"), "lost")
+        .when(F.col("candidate_pass"), "gained")
+        .otherwise("kept_fail")
     )
-    ratio = F.when(F.col("bucket") == "both_pass", F.col("baseline_ms") / F.col("candidate_ms"))
-    names = ("both_pass", "opt_regression", "opt_improvement", "both_fail", "evaluation_error")
+    ratio = F.when(F.col("bucket") == "kept_pass", F.col("baseline_ms") / F.col("candidate_ms"))
+    names = ("kept_pass", "lost", "gained", "kept_fail", "faulty")
     rows = cases.withColumn("bucket", bucket).withColumn("ratio", ratio)
-    kept = F.count_if(F.col("bucket") == "both_pass")
-    lost = F.count_if(F.col("bucket") == "opt_regression")
-    guards = F.min(F.when(F.col("guard"), F.coalesce((F.col("bucket") == "both_pass") & (F.col("ratio") >= 1 - margin), F.lit(False))))
+    kept = F.count_if(F.col("bucket") == "kept_pass")
+    lost = F.count_if(F.col("bucket") == "lost")
+    guards = F.min(F.when(F.col("guard"), F.coalesce((F.col("bucket") == "kept_pass") & (F.col("ratio") >= 1 - margin), F.lit(False))))
     return rows.groupBy(group).agg(
         *[F.count_if(F.col("bucket") == n).alias(n) for n in names],
         F.round(F.try_divide(kept, kept + lost), 6).alias("retention"),

@@ -24,8 +24,8 @@ def attempts(rows: DataFrame) -> DataFrame:
 def stagnation(rows: DataFrame, limit: int = 3) -> DataFrame:
     """task_id, attempts, streak, state: negative attempts since the last progress, by time; others are neutral.
 
-    ``stalled`` from ``limit`` on, else ``monitoring`` with a streak, ``progressing`` after any progress,
-    else ``repair``. Ordered by created, then attempt_id; null tasks form a task of their own.
+    ``stuck`` from ``limit`` on, else ``slowing`` with a streak, ``moving`` after any progress,
+    else ``unproven``. Ordered by created, then attempt_id; null tasks form a task of their own.
     """
     flags = rows.select(
         "task_id", "created", "attempt_id", F.col("status").isin(*PROGRESS).alias("up"), F.col("status").isin(*NEGATIVE).alias("down")
@@ -38,7 +38,7 @@ def stagnation(rows: DataFrame, limit: int = 3) -> DataFrame:
         F.first("attempts").alias("attempts"), streak.alias("streak"), F.max(F.col("last").isNotNull()).alias("ever")
     )
     state = (
-        F.when(F.col("streak") >= limit, "stalled").when(F.col("streak") > 0, "monitoring").when(F.col("ever"), "progressing").otherwise("repair")
+        F.when(F.col("streak") >= limit, "stuck").when(F.col("streak") > 0, "slowing").when(F.col("ever"), "moving").otherwise("unproven")
     )
     return per.select("task_id", "attempts", "streak", state.alias("state"))
 

@@ -80,7 +80,7 @@ def match_conditions(units: DataFrame, observed: dict[str, str]) -> DataFrame:
         .when((F.col("want") == "unknown") | F.coalesce(F.array_contains(want_list, "unknown"), F.lit(False)), "unknown")
         .when(have == "unknown", "unknown")
         .when(F.col("want").isin("any", "general") | F.coalesce(F.arrays_overlap(want_list, F.array(F.lit("any"), F.lit("general"))), F.lit(False)), "matched")
-        .when(exact.isNotNull(), F.when(have.isNull(), "unknown").when(F.array_sort(exact) == F.array(have), "matched").otherwise("mismatch"))
+        .when(exact.isNotNull(), F.when(have.isNull(), "unknown").when(F.array_sort(exact) == F.array_sort(F.coalesce(F.from_json(have, "array<string>"), F.array(have))), "matched").otherwise("mismatch"))
         .when(
             F.col("want").startswith("{"),
             F.when(F.array_contains(nested, "mismatch"), "mismatch").when(F.array_contains(nested, "unknown"), "unknown").otherwise("matched"),
@@ -122,7 +122,7 @@ def duplicate_rules(units: DataFrame) -> DataFrame:
         .where("units > 1")
         .withColumn(
             "disposition",
-            F.when(F.col("variants") > 1, "retain_distinct_evidence").otherwise("exact_rule_duplicate"),
+            F.when(F.col("variants") > 1, "other_source").otherwise("same_source"),
         )
     )
 

@@ -268,7 +268,7 @@ ORACLES = {
       SELECT n.id, n.ancestor_id, p.tier AS parent_tier FROM near n JOIN full_rows c ON c.id = n.id AND c.tier = 'L3'
       JOIN full_rows p ON p.id = n.ancestor_id AND p.tier IN ('L1', 'L2') WHERE n.id NOT IN (SELECT id FROM bad)""",
     "a04_duplicate_rules": V + f"""SELECT count(*) AS units, min(id) AS first_id, count(DISTINCT {_PROVENANCE}) AS variants,
-      CASE WHEN count(DISTINCT {_PROVENANCE}) > 1 THEN 'retain_distinct_evidence' ELSE 'exact_rule_duplicate' END AS disposition
+      CASE WHEN count(DISTINCT {_PROVENANCE}) > 1 THEN 'other_source' ELSE 'same_source' END AS disposition
       FROM valid GROUP BY body, conditions, tier, category, evidence_strength, list_sort(inherits_from) HAVING count(*) > 1""",
     "a05_shared_rules": V + "SELECT min(id) AS first_id, count(*) AS occurrences, round(count(*) / (SELECT count(*) FROM valid), 6) AS ratio FROM valid GROUP BY body, conditions HAVING count(*) > 1",
     "a06_shard_metrics": V + """, p AS (SELECT list_filter(string_split(coalesce(domain_path, ''), '/'), lambda x: x NOT IN ('', '.')) AS parts,

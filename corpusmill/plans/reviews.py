@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as t
 from corpusmill.functions.clean import clean_id
 from corpusmill.io import table
-from corpusmill.operators import ranking, state as st, units as u
+from corpusmill.operators import ranking, redact, state as st, units as u
 from corpusmill.operators.hierarchy import closure, roots
 from corpusmill.operators.snapshots import snapshot_changes
 from corpusmill.plans.general import _CHANGES, _TREE
@@ -33,11 +33,11 @@ def q02_explain_units(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = state.join(worst, "id", "left").join(u.match_conditions(valid, OBSERVED), "id")
     verdict = (
-        F.when(F.col("unit_status").isin("archived", "superseded"), "removed_or_superseded")
-        .when(F.col("lost"), "missing_ancestor")
-        .when(F.col("suspect"), "suspect_ancestor")
+        F.when(F.col("unit_status").isin("archived", "superseded"), "gone")
+        .when(F.col("lost"), "parent_lost")
+        .when(F.col("suspect"), "parent_in_doubt")
         .when(F.col("status") != "matched", F.concat(F.lit("condition_"), "status"))
-        .otherwise("deliverable")
+        .otherwise("usable")
     )
     return rows.select("id", verdict.alias("verdict"))
 
@@ -123,11 +123,9 @@ def a21_generations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r31_masked(spark: SparkSession, d: str) -> DataFrame:
-    """Findings with their value masked: its ends and length, or nothing but stars where it is short."""
-    value = F.col("value")
-    ends = F.concat(F.substring(value, 1, 2), F.lit("…"), F.right(value, F.lit(2)), F.lit(" ("), F.length(value), F.lit(" chars)"))
+    """Findings with their value as it may be shown."""
     rows = table(spark, d, "findings").where("value is not null").distinct()
-    return rows.select("finding_id", "rule", F.when(F.length(value) <= 4, F.repeat(F.lit("*"), F.length(value))).otherwise(ends).alias("masked"))
+    return rows.select("finding_id", "rule", redact.shown(F.col("value")).alias("masked"))
 
 
 def r35_private_addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -201,8 +199,8 @@ _FULL_STATUS = _STATUS.replace("FROM valid)", "FROM full_rows)")
 ORACLES = {
     "q02_explain_units": _TREE + "," + _FULL + "," + _FULL_STATUS + """, w AS (SELECT n.id, bool_or(f.id IS NULL) AS lost, bool_or(coalesce(f.status = 'suspect', false)) AS suspect
         FROM near n LEFT JOIN full_rows f ON f.id = n.ancestor_id WHERE n.id NOT IN (SELECT id FROM bad) GROUP BY 1)
-      SELECT f.id, CASE WHEN f.status IN ('archived', 'superseded') THEN 'removed_or_superseded' WHEN w.lost THEN 'missing_ancestor' WHEN w.suspect THEN 'suspect_ancestor'
-        WHEN a.status <> 'matched' THEN 'condition_' || a.status ELSE 'deliverable' END AS verdict FROM full_rows f JOIN applied a USING (id) LEFT JOIN w ON w.id = f.id""",
+      SELECT f.id, CASE WHEN f.status IN ('archived', 'superseded') THEN 'gone' WHEN w.lost THEN 'parent_lost' WHEN w.suspect THEN 'parent_in_doubt'
+        WHEN a.status <> 'matched' THEN 'condition_' || a.status ELSE 'usable' END AS verdict FROM full_rows f JOIN applied a USING (id) LEFT JOIN w ON w.id = f.id""",
     "w07_budget": "WITH RECURSIVE " + RETRIEVAL["a02_bm25_topk"].strip()[5:].rsplit("SELECT *, row_number()", 1)[0] + f""", top AS (SELECT query_id, id,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 20),
       sized AS (SELECT query_id, rank, ceil(octet_length(encode(coalesce(body, ''))) / 4)::BIGINT AS n FROM top JOIN valid USING (id)),
@@ -226,7 +224,7 @@ ORACLES = {
       QUALIFY row_number() OVER (PARTITION BY policy_identity ORDER BY updated DESC, attempt_id DESC) = 1""",
     "w10_interleaved": "SELECT row_number() OVER (PARTITION BY doc_kind ORDER BY collected_at DESC NULLS LAST, doc_id)::INT AS turn, doc_kind, doc_id FROM documents QUALIFY turn <= 3",
     "a21_generations": V + "SELECT domain_path, count(*) AS units, sum(('0x' || substr(md5(concat_ws('|', id, revision::VARCHAR, coalesce(tier, ''))), 1, 12))::BIGINT)::BIGINT AS generation FROM valid GROUP BY 1",
-    "r31_masked": "SELECT finding_id, rule, CASE WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE value[:2] || '…' || right(value, 2) || ' (' || length(value) || ' chars)' END AS masked FROM (SELECT DISTINCT * FROM findings WHERE value IS NOT NULL)",
+    "r31_masked": "SELECT finding_id, rule, CASE WHEN length(value) > 6 THEN left(value, 1) || '*' || right(value, 1) ELSE '*' END || ' ' || length(value) || ' ' || left(sha256(value), 8) AS masked FROM (SELECT DISTINCT * FROM findings WHERE value IS NOT NULL)",
     "r35_private_addresses": V + f"SELECT id, len(regexp_extract_all(body, '{PRIVATE}'))::INT AS n, sha256(regexp_replace(body, '{PRIVATE}', '<private-address>', 'g')) AS digest FROM valid WHERE regexp_matches(body, '{PRIVATE}')",
     "t26_paths": V + "SELECT domain_path, coalesce(regexp_matches(domain_path, '^[a-z0-9_][a-z0-9_-]*(/[a-z0-9_][a-z0-9_-]*)*$'), false) AS plain, count(*) AS units FROM valid GROUP BY ALL",
     "e02_disagreements": "SELECT entry_id, count(DISTINCT title) AS titles, count(DISTINCT kind) AS kinds FROM entries WHERE entry_id IS NOT NULL GROUP BY 1 HAVING titles > 1 OR kinds > 1",

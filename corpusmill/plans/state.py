@@ -113,10 +113,11 @@ def a10_latest_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f06_eligible_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Visible entries that fit the facts: an absent key passes, only knowledge is filtered."""
+    """Visible entries that fit the facts: an absent key passes, and only the kind with most rows is filtered."""
     rows = table(spark, d, "entries").where("feed_active = 1 or published_revision is null").distinct()
     device = F.get_json_object("conditions", "$.device")
-    fits = (F.col("kind") != "knowledge") | device.isNull() | device.isin("any", "a3")
+    first = table(spark, d, "entries").where("kind is not null").groupBy("kind").count().orderBy(F.desc("count"), "kind").first()
+    fits = (F.col("kind") != (first[0] if first else "")) | device.isNull() | device.isin("any", "a3")
     return rows.where(fits).groupBy("kind", "origin").agg(F.countDistinct("entry_id").alias("entries"))
 
 
@@ -167,12 +168,38 @@ def a14_timings(spark: SparkSession, d: str) -> DataFrame:
 
 def r28_scan_units(spark: SparkSession, d: str) -> DataFrame:
     found = redact.scan(valid_units(table(spark, d, "graded_units"), "body"), "id", "body")
-    return found.groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("key").alias("units"))
+    return found.groupBy("kind").agg(F.count("*").alias("findings"), F.countDistinct("key").alias("units"))
+
+
+def r29_scan_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of entry documents, their names included, that hold a secret or identifier."""
+    docs = table(spark, d, "entries").where("entry_id is not null").select("entry_id", "doc").distinct()
+    return redact.scan_tree(docs, "entry_id", "doc").groupBy("pointer", "part", "kind").agg(F.count("*").alias("findings"))
+
+
+def r30_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by kind where tickets are allowed: these are claimed, but not reported."""
+    found = redact.scan(valid_units(table(spark, d, "graded_units"), "body"), "id", "body", allow=r"[A-Z]+-\d+(?:-\d+)?")
+    return found.groupBy("kind").agg(F.count("*").alias("findings"))
+
+
+def r32_redacted_units(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies with all findings replaced, by digest."""
+    done = redact.marked(valid_units(table(spark, d, "graded_units"), "body").where("body is not null"), "body")
+    return done.select("id", F.size("findings").alias("findings"), F.sha2("redacted", 256).alias("digest"))
+
+
+def r37_outbound(spark: SparkSession, d: str) -> DataFrame:
+    """Units by path that may leave, and those that are held back for a finding in title or body."""
+    valid = valid_units(table(spark, d, "graded_units"), "domain_path", "title", "body")
+    seen = redact.marked(valid.withColumn("text", F.concat_ws("\n", "title", "body")), "text")
+    held = F.size("findings") > 0
+    return seen.groupBy("domain_path").agg(F.count_if(held).alias("held"), F.count_if(~held).alias("free"))
 
 
 def r08_mac_addresses(spark: SparkSession, d: str) -> DataFrame:
     found = redact.scan(table(spark, d, "findings").where("finding_id is not null"), "finding_id", "value")
-    return found.where("rule = 'mac-address'").groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "finding_id")
+    return found.where("kind = 'mac'").groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "finding_id")
 
 
 def s12_json_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +240,7 @@ QUERIES = {
         w05_latest_attempts, w06_stagnation, a17_status_rollup, a18_settled_batches, w09_newest_failures, x08_retry_delays,
         w11_block_neighbours, m29_coverage_gaps, t16_prompt_batches, j17_block_references, m08_task_index, l02_page,
         w04_first_related, x09_status_moves, a09_usage, a10_latest_votes, f06_eligible_entries, e03_withdrawn, e01_visible,
-        l06_frontier, a13_retention, a14_timings, r28_scan_units, r08_mac_addresses, s12_json_lines, s02_markdown,
+        l06_frontier, a13_retention, a14_timings, r28_scan_units, r29_scan_entries, r30_allowed, r32_redacted_units, r37_outbound, r08_mac_addresses, s12_json_lines, s02_markdown,
         x01_admitted_once, x10_event_windows, x11_sessions,
     )
 }
@@ -227,7 +254,7 @@ ORACLES = {
     "w05_latest_attempts": A + "SELECT attempt_id, status, updated FROM att",
     "w06_stagnation": A + """, f AS (SELECT *, max(CASE WHEN status IN ('applied', 'returned') THEN created END) OVER (PARTITION BY task_id) AS up FROM att),
       g AS (SELECT task_id, count(*) AS attempts, count(*) FILTER (WHERE status = 'failed' AND (up IS NULL OR created > up)) AS streak, bool_or(up IS NOT NULL) AS ever FROM f GROUP BY 1)
-      SELECT task_id, attempts, streak, CASE WHEN streak >= 3 THEN 'stalled' WHEN streak > 0 THEN 'monitoring' WHEN ever THEN 'progressing' ELSE 'repair' END AS state FROM g""",
+      SELECT task_id, attempts, streak, CASE WHEN streak >= 3 THEN 'stuck' WHEN streak > 0 THEN 'slowing' WHEN ever THEN 'moving' ELSE 'unproven' END AS state FROM g""",
     "a17_status_rollup": A + "SELECT status, error, count(*) AS attempts, floor(avg(updated - created))::BIGINT AS mean_seconds FROM att GROUP BY ALL",
     "a18_settled_batches": A + "SELECT batch_id, count(*) AS attempts, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'applied') THEN 'complete' ELSE 'pending' END AS state FROM att GROUP BY 1",
     "w09_newest_failures": A + "SELECT task_id, attempt_id, row_number() OVER (PARTITION BY task_id ORDER BY updated DESC, attempt_id)::INT AS place FROM att WHERE status = 'failed' QUALIFY place <= 5",
@@ -260,7 +287,7 @@ ORACLES = {
     "a10_latest_votes": """WITH l AS (SELECT event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
       SELECT event_type, count(*) AS votes, count(*) FILTER (WHERE value >= 50) AS up FROM l GROUP BY 1""",
     "f06_eligible_entries": """SELECT kind, origin, count(DISTINCT entry_id) AS entries FROM entries WHERE (feed_active = 1 OR published_revision IS NULL)
-      AND (kind <> 'knowledge' OR json_extract_string(conditions, '$.device') IS NULL OR json_extract_string(conditions, '$.device') IN ('any', 'a3')) GROUP BY ALL""",
+      AND (kind <> (SELECT kind FROM entries WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, kind LIMIT 1) OR json_extract_string(conditions, '$.device') IS NULL OR json_extract_string(conditions, '$.device') IN ('any', 'a3')) GROUP BY ALL""",
     "e03_withdrawn": "SELECT DISTINCT entry_id FROM entries WHERE published_revision IS NOT NULL AND entry_id NOT IN (SELECT entry_id FROM entries WHERE feed_active = 1 AND entry_id IS NOT NULL)",
     "e01_visible": """SELECT entry_id, origin, kind, title FROM entries WHERE entry_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id
       ORDER BY CASE origin WHEN 'feed' THEN 2 WHEN 'import' THEN 1 ELSE 0 END DESC, updated DESC NULLS LAST, title DESC NULLS LAST) = 1""",
@@ -271,17 +298,17 @@ ORACLES = {
     "a13_retention": """WITH c AS (SELECT l_orderkey, bool_and(CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag <> 'R' END) AS bp, bool_and(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag <> 'R' END) AS cp,
         avg(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice::DOUBLE END) AS bm, avg(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice::DOUBLE END) AS cm,
         max(l_quantity) < 20 AS guard FROM lineitem GROUP BY 1),
-      r AS (SELECT o_orderpriority, guard, CASE WHEN bp IS NULL OR cp IS NULL OR coalesce(bm <= 0 OR cm <= 0, false) THEN 'evaluation_error' WHEN bp AND cp THEN 'both_pass'
-        WHEN bp THEN 'opt_regression' WHEN cp THEN 'opt_improvement' ELSE 'both_fail' END AS bucket, bm / cm AS ratio FROM c JOIN orders ON o_orderkey = l_orderkey)
-      SELECT o_orderpriority, count(*) FILTER (WHERE bucket = 'both_pass') AS both_pass, count(*) FILTER (WHERE bucket = 'opt_regression') AS opt_regression,
-        count(*) FILTER (WHERE bucket = 'opt_improvement') AS opt_improvement, count(*) FILTER (WHERE bucket = 'both_fail') AS both_fail,
-        count(*) FILTER (WHERE bucket = 'evaluation_error') AS evaluation_error,
-        round(count(*) FILTER (WHERE bucket = 'both_pass') / nullif(count(*) FILTER (WHERE bucket IN ('both_pass', 'opt_regression')), 0), 6) AS retention,
-        round(exp(avg(ln(ratio)) FILTER (WHERE bucket = 'both_pass')), 6) AS speedup,
-        bool_and(coalesce(bucket = 'both_pass' AND ratio >= 1, false)) FILTER (WHERE guard) AS guard_ok FROM r GROUP BY 1""",
+      r AS (SELECT o_orderpriority, guard, CASE WHEN bp IS NULL OR cp IS NULL OR coalesce(bm <= 0 OR cm <= 0, false) THEN 'faulty' WHEN bp AND cp THEN 'kept_pass'
+        WHEN bp THEN 'lost' WHEN cp THEN 'gained' ELSE 'kept_fail' END AS bucket, bm / cm AS ratio FROM c JOIN orders ON o_orderkey = l_orderkey)
+      SELECT o_orderpriority, count(*) FILTER (WHERE bucket = 'kept_pass') AS kept_pass, count(*) FILTER (WHERE bucket = 'lost') AS lost,
+        count(*) FILTER (WHERE bucket = 'gained') AS gained, count(*) FILTER (WHERE bucket = 'kept_fail') AS kept_fail,
+        count(*) FILTER (WHERE bucket = 'faulty') AS faulty,
+        round(count(*) FILTER (WHERE bucket = 'kept_pass') / nullif(count(*) FILTER (WHERE bucket IN ('kept_pass', 'lost')), 0), 6) AS retention,
+        round(exp(avg(ln(ratio)) FILTER (WHERE bucket = 'kept_pass')), 6) AS speedup,
+        bool_and(coalesce(bucket = 'kept_pass' AND ratio >= 1, false)) FILTER (WHERE guard) AS guard_ok FROM r GROUP BY 1""",
     "a14_timings": """SELECT l_linestatus, l_returnflag, count(*) AS samples, round(min(x), 9) AS low, round(max(x), 9) AS high, round(exp(avg(ln(x))), 6) AS geomean
       FROM (SELECT l_linestatus, l_returnflag, l_extendedprice::DOUBLE / l_quantity::DOUBLE AS x FROM lineitem) GROUP BY ALL""",
-    "r08_mac_addresses": r"SELECT finding_id, sum(len(regexp_extract_all(value, '(?i)\b(?:[0-9a-f]{2}:){5}[0-9a-f]{2}\b')))::BIGINT AS n FROM findings WHERE finding_id IS NOT NULL GROUP BY 1 HAVING n > 0",
+    "r08_mac_addresses": r"SELECT finding_id, sum(len(regexp_extract_all(value, '(?i)\b(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}\b')))::BIGINT AS n FROM findings WHERE finding_id IS NOT NULL GROUP BY 1 HAVING n > 0",
     "s12_json_lines": V + "SELECT id, revision, tier, sha256(coalesce(body, '')) AS digest FROM valid",
     "s02_markdown": V + "SELECT id, revision, len(inherits_from)::INT AS parents, sha256(coalesce(body, '')) AS digest, NULL::VARCHAR AS error FROM valid",
     "x01_admitted_once": "SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY 1",
