@@ -62,7 +62,7 @@ BEFORE_CITY = re.compile(r"([㐀-鿿]{2,9}市)\Z")
 LOOSE = {
     "email": re.compile(r"(?<![\w.@/+-])[A-Za-z0-9][\w.+-]{0,63} ?(?:@|[\[(](?i:at)[\])]) ?[A-Za-z0-9][\w.-]{0,250}[A-Za-z0-9](?![\w@-])"),
     "phone": re.compile(r"(?<![\w.+-])[+(]?\d(?:[ ()./-]{0,2}\d){6,14}(?![\w-]|\.\d)"),
-    "id_number": re.compile(r"(?<![\w/.-])(?=[A-Z0-9 -]*\d{3})[A-Z0-9]{2,12}(?:[ -][A-Z0-9]{2,8}){0,3}(?![\w/-]|\.\d)"),
+    "id_number": re.compile(r"(?<![\w/.-])(?=(?:[A-Z -]{0,5}\d){5})[A-Z0-9]{2,18}(?:[ -][A-Z0-9]{2,8}){0,3}(?![\w/-]|\.\d)"),
     "address": re.compile(r"(?<![\w./-])\d{1,5}[A-Za-z]? (?:[A-Z][\w'’-]*,? ){1,5}[A-Z][\w'’-]+(?:,? [A-Z]{2})? ?\d{4,5}(?!\w)"),
 }
 #: Characters before a name by which copies of a text are told.
@@ -337,8 +337,9 @@ def _scan(model):
                     if kind == "address" and (m := BEFORE_CITY.search(plain, max(0, a - 6), min(b, a + 3))):
                         city = m[1]
                     rows.append((*head, kind, text[a:b], a, b, None, None, left, right, True, None, city, None))
+                written = "@" in plain or "at)" in plain or "at]" in plain
                 for kind, pattern in LOOSE.items():
-                    for m in pattern.finditer(plain):
+                    for m in pattern.finditer(plain) if kind != "email" or written else ():
                         a, b = m.span()
                         if spans.free(a, b):
                             left, right, _ = context(plain, a, b, at, ends)
