@@ -164,11 +164,17 @@ class Spans:
             self.found.insert(i, (a, b, kind))
 
 
+def _written(text: str) -> bool:
+    """Whether a text holds anything that every spelling of an email address needs."""
+    low = text.lower()
+    return "@" in low or "at)" in low or "at]" in low or " dot " in low
+
+
 def shaped(text: str) -> Spans:
     """Spans of a known form, in order of precedence; none overlaps an earlier one. A Chinese address begins with the last
     three characters of its city at most, see ``personal_spans``."""
     spans = Spans()
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if _written(text) else ():
         spans.add("email", *m.span())
     for m in RESIDENT.finditer(text):
         if resident_number(m.group()):
@@ -337,7 +343,7 @@ def _scan(model):
                     if kind == "address" and (m := BEFORE_CITY.search(plain, max(0, a - 6), min(b, a + 3))):
                         city = m[1]
                     rows.append((*head, kind, text[a:b], a, b, None, None, left, right, True, None, city, None))
-                written = "@" in plain or "at)" in plain or "at]" in plain
+                written = _written(plain)
                 for kind, pattern in LOOSE.items():
                     for m in pattern.finditer(plain) if kind != "email" or written else ():
                         a, b = m.span()
