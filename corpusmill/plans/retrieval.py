@@ -235,6 +235,8 @@ ORACLES = {
       per AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL)
       SELECT term, count(*) AS df, sum(tf)::BIGINT AS n, max(tf) AS most FROM per GROUP BY 1""",
     "t08_token_estimate": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, ceil(octet_length(encode(text)) / 4)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
+    "t09_byte_excerpt": """WITH e AS (SELECT doc_id, text, list_max(list_filter(range(0, least(length(text), 256) + 1), lambda i: octet_length(encode(substr(text, 1, i))) <= 256)) AS n
+      FROM documents WHERE text IS NOT NULL) SELECT doc_id, substr(text, 1, n) AS excerpt, octet_length(encode(text)) > 256 AS truncated FROM e""",
     "t10_term_window": """SELECT doc_id, CASE WHEN instr(lower(text), 'because') - 120 > 1 THEN '…' ELSE '' END
       || substr(text, greatest(instr(lower(text), 'because') - 120, 1), 1200) AS excerpt FROM documents WHERE lower(text) LIKE '%because%'""",
     "t14_lossless_pieces": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, true AS within FROM documents WHERE text <> ''",
