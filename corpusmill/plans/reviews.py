@@ -228,12 +228,8 @@ ORACLES = {
     "r35_private_addresses": V + f"SELECT id, len(regexp_extract_all(body, '{PRIVATE}'))::INT AS n, sha256(regexp_replace(body, '{PRIVATE}', '<private-address>', 'g')) AS digest FROM valid WHERE regexp_matches(body, '{PRIVATE}')",
     "t26_paths": V + "SELECT domain_path, coalesce(regexp_matches(domain_path, '^[a-z0-9_][a-z0-9_-]*(/[a-z0-9_][a-z0-9_-]*)*$'), false) AS plain, count(*) AS units FROM valid GROUP BY ALL",
     "e02_disagreements": "SELECT entry_id, count(DISTINCT title) AS titles, count(DISTINCT kind) AS kinds FROM entries WHERE entry_id IS NOT NULL GROUP BY 1 HAVING titles > 1 OR kinds > 1",
-    "x04_carried_blocks": """WITH p AS (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 2000)::INT)) AS page FROM documents WHERE text <> ''),
-      t AS (SELECT doc_id, page, substr(text, page * 2000 + 1, 2000) AS part FROM p),
-      f AS (SELECT doc_id, page, part, string_split(part, '```') AS parts,
-        sum(len(string_split(part, '```')) - 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)
-      SELECT doc_id, count(*) AS pages, sum(length(part))::BIGINT AS n_chars, sum(list_sum(list_transform(range(1, len(parts) + 1),
-        lambda i: CASE WHEN (i - 1 + coalesce(before, 0)) % 2 = 1 THEN length(parts[i]) ELSE 0 END)))::BIGINT AS inside FROM f GROUP BY 1""",
+    "x04_carried_blocks": """WITH p AS (SELECT doc_id, length(text) AS n, string_split(text, '```') AS parts FROM documents WHERE text <> '')
+      SELECT doc_id, ceil(n / 2000)::BIGINT AS pages, n AS n_chars, coalesce(list_sum(list_transform(range(2, len(parts) + 1, 2), lambda i: length(parts[i]))), 0)::BIGINT AS inside FROM p""",
     "x12_refreshed_index": r"""WITH l AS (SELECT domain_path FROM unit_snapshots WHERE id IS NOT NULL AND snapshot_id = (SELECT max(snapshot_id) FROM unit_snapshots WHERE id IS NOT NULL)
         QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) ORDER BY delivered_at DESC NULLS LAST, revision DESC NULLS LAST, domain_path DESC NULLS LAST) = 1)
       SELECT term, count(*) AS n FROM (SELECT unnest(string_split(coalesce(domain_path, ''), '/')) AS term FROM l) GROUP BY 1""",
