@@ -91,3 +91,16 @@ def test_two_sides_names_the_missing_one(spark):
 def test_remedies(spark):
     df = spark.createDataFrame([("failed", "budget"), ("failed", None), ("invoking", None), ("applied", None), (None, "x")], "status string, error string")
     assert [r[0] for r in df.select(m.remedy("status", "error")).collect()] == ["split", "look", "unknown outcome", None, None]
+
+
+def test_bm25_is_the_same_with_spread_terms(spark):
+    from corpusmill.operators.ranking import bm25
+
+    corpus = spark.createDataFrame(
+        [("a", "swap gate", "swap the gate"), ("b", None, "gate"), ("c", "", None), ("d", "other", "gate gate")], "id string, header string, body string"
+    )
+    queries = spark.createDataFrame([(1, "swap gate"), (2, "gate"), (3, ""), (4, None), (5, "absent")], "query_id int, query string")
+    few = rows(bm25(corpus, queries, broadcast_terms=0))
+    assert few == rows(bm25(corpus, queries))
+    assert [r[:2] for r in few] == [(1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "b"), (2, "d")]
+    assert bm25(corpus.limit(0), queries).count() == 0 and bm25(corpus, queries.limit(0)).count() == 0
