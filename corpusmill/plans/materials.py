@@ -11,7 +11,7 @@ from corpusmill.io import table
 from corpusmill.operators import materials as m, ranking, state as st, units as u
 from corpusmill.operators.hierarchy import closure
 from corpusmill.plans.general import _TREE, SPACE
-from corpusmill.plans.retrieval import _STATUS, _VALID, OBSERVED, V, _queries, _terms
+from corpusmill.plans.retrieval import _PICKED, _STATUS, _UNIT_DOCS, _VALID, OBSERVED, V, _queries, _scored, _terms
 from corpusmill.plans.state import A, B, _ATT
 from corpusmill.plans.upkeep import _TWO, _last_two
 
@@ -250,24 +250,11 @@ QUERIES = {
     )
 }
 
-_UNIT_DOCS = """SELECT id, body, coalesce(title, '') || CASE WHEN len(x) > 0 THEN chr(10) || array_to_string(x, chr(10)) ELSE '' END AS h
-  FROM (SELECT *, coalesce(triggers.error_signatures, []) || coalesce(triggers.keywords, []) AS x FROM valid)"""
 _BLOCK_DOCS = """SELECT task_id || '/' || block_id AS id, summary AS body, coalesce(title, '') AS h FROM (SELECT * FROM material_blocks
   QUALIFY row_number() OVER (PARTITION BY task_id, block_id ORDER BY title DESC NULLS LAST, summary DESC NULLS LAST) = 1)"""
 _WANTED = f"wanted AS (SELECT case_id AS query_id, unnest(list_distinct({_terms('query_text')})) AS term FROM eval_items WHERE query_text IS NOT NULL)"
 
 
-def _scored(docs: str, p: str = "") -> str:
-    """Common table expressions that end in ``{p}scored`` (query_id, id, score) of ``wanted`` against ``docs``."""
-    return f"""{p}docs AS (SELECT id, {_terms("h || chr(10) || coalesce(body, '')")} AS terms, list_distinct({_terms('h')}) AS header FROM ({docs})),
-      {p}totals AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM {p}docs),
-      {p}postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM {p}docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
-      {p}df AS (SELECT term, count(*) AS df FROM {p}postings GROUP BY 1),
-      {p}parts AS (SELECT id, term, CASE WHEN list_contains(header, term) THEN 1.25 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-        / (tf + 1.2 * (0.25 + 0.75 * len(terms) / average)) AS part FROM {p}postings JOIN {p}df USING (term) JOIN {p}docs USING (id), {p}totals),
-      {p}scored AS (SELECT query_id, id, round(sum(part), 6) AS score FROM wanted JOIN {p}parts USING (term) GROUP BY ALL)"""
-
-
 def _top(k: int, p: str = "", where: str = "true") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM {p}scored WHERE {where} QUALIFY rank <= {k}"
 
@@ -287,7 +274,7 @@ ORACLES = {
     "j05_foundations": _TREE + f", {_FULL}, {_WANTED}, {_scored(_UNIT_DOCS.replace('FROM valid', 'FROM full_rows'))}, hits AS ({_top(HITS)})" + """
       SELECT query_id, id, rank FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits b JOIN near n ON n.id = b.id
         WHERE b.query_id = h.query_id AND n.ancestor_id = h.id AND b.rank < h.rank AND b.id NOT IN (SELECT id FROM bad))""",
-    "l03_related_units": V + f", wanted AS (SELECT id AS query_id, unnest(list_distinct({_terms('title')})) AS term FROM valid WHERE title IS NOT NULL AND ('0x' || md5(id)[1:6])::INT % 50 = 0), "
+    "l03_related_units": V + f", wanted AS (SELECT id AS query_id, unnest(list_distinct({_terms('title')})) AS term FROM valid WHERE title IS NOT NULL AND {_PICKED}), "
       + _scored(_UNIT_DOCS) + " " + _top(3, "", "id <> query_id"),
     "t06_query_terms": V + _HITS + f""", words AS (SELECT query_id, list_distinct({_terms('query')}) AS w FROM asked),
       one AS (SELECT DISTINCT query_id, unnest(w) AS term FROM words),

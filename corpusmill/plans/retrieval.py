@@ -115,9 +115,9 @@ def q01_graded_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a12_known_item_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of every fiftieth unit as queries, over all units."""
+    """Titles of every fiftieth unit (by a digest of its id) as queries, over all units."""
     valid = u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body")
-    asked = valid.where(F.pmod(F.crc32("id"), F.lit(50)) == 0).where("title is not null")
+    asked = valid.where(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("int") % 50 == 0).where("title is not null")
     queries = asked.select(F.col("id").alias("query_id"), F.col("title").alias("query"))
     ranked = ranking.top_k(ranking.bm25(ranking.header_text(valid), queries), 10)
     return ranking.known_item_metrics(ranked, asked.select(F.col("id").alias("query_id"), "id"))
@@ -216,7 +216,6 @@ def _terms(text: str) -> str:
       THEN list_transform(range(1, length(w)), lambda i: w[i:i+1]) ELSE [w] END))"""
 
 
-_BATCH = "json_extract_string(conditions, '$.batch')"
 _STATUS = rf"""
 keys AS (SELECT id, json_extract(conditions, '$.device') AS device, json_extract(conditions, '$.batch') AS batch,
   regexp_extract(json_extract_string(conditions, '$.framework.qxserve'), '>=(\d+)\.(\d+)', 1)::INT * 1000
@@ -229,6 +228,40 @@ marks AS (SELECT id,
 applied AS (SELECT id, CASE greatest(d, b, f) WHEN 2 THEN 'mismatch' WHEN 1 THEN 'unknown' ELSE 'matched' END AS status,
   CASE WHEN d = 1 THEN 'device' ELSE '' END AS open_keys FROM marks)
 """
+
+
+def _parts(w: str) -> str:
+    """SQL of identifier_parts: borders in two steps, as RE2 looks neither ahead nor behind."""
+    border = r"regexp_replace(regexp_replace(c, '([a-z])([A-Z0-9])', '\1 \2', 'g'), '([A-Z0-9])([A-Z][a-z])', '\1 \2', 'g')"
+    spellings = rf"""flatten(list_transform(list_filter(regexp_split_to_array({w}, '[-./:+]'), lambda p: regexp_matches(p, '^\D\w*$')),
+      lambda p: list_transform([p] || flatten(list_transform(regexp_split_to_array(p, '_+'), lambda c: [c] || string_split({border}, ' '))), lambda x: lower(x))))"""
+    once = f"list_transform([{spellings}], lambda l: list_filter(l, lambda x, i: list_position(l, x) = i))[1]"
+    return f"list_filter({once}, lambda x: length(x) > 1 AND x <> lower({w}))"
+
+
+def _terms_with_parts(text: str) -> str:
+    return rf"""flatten(list_transform(regexp_extract_all({text}, '(?i){LEX}'), lambda w:
+      CASE WHEN regexp_matches(w, '^[a-z]*[0-9]*$') THEN [w]
+      WHEN regexp_matches(w, '^[\x{{3400}}-\x{{9fff}}]') THEN CASE WHEN length(w) > 1 THEN list_transform(range(1, length(w)), lambda i: w[i:i+1]) ELSE [w] END
+      ELSE [lower(w)] || {_parts('w')} END))"""
+
+
+_UNIT_DOCS = """SELECT id, body, coalesce(title, '') || CASE WHEN len(x) > 0 THEN chr(10) || array_to_string(x, chr(10)) ELSE '' END AS h
+  FROM (SELECT *, coalesce(triggers.error_signatures, []) || coalesce(triggers.keywords, []) AS x FROM valid)"""
+
+
+def _scored(docs: str, p: str = "", terms=_terms) -> str:
+    """Common table expressions that end in ``{p}scored`` (query_id, id, score) of ``wanted`` against ``docs``."""
+    return f"""{p}docs AS (SELECT id, {terms("h || chr(10) || coalesce(body, '')")} AS terms, list_distinct({terms('h')}) AS header FROM ({docs})),
+      {p}totals AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM {p}docs),
+      {p}postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM {p}docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+      {p}df AS (SELECT term, count(*) AS df FROM {p}postings GROUP BY 1),
+      {p}parts AS (SELECT id, term, CASE WHEN list_contains(header, term) THEN 1.25 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+        / (tf + 1.2 * (0.25 + 0.75 * len(terms) / average)) AS part FROM {p}postings JOIN {p}df USING (term) JOIN {p}docs USING (id), {p}totals),
+      {p}scored AS (SELECT query_id, id, round(sum(part), 6) AS score FROM wanted JOIN {p}parts USING (term) GROUP BY ALL)"""
+
+
+_PICKED = "('0x' || md5(id)[1:6])::INT % 50 = 0"
 _PROVENANCE = "coalesce(provenance::VARCHAR, '')"
 ORACLES = {
     "t01_lexemes": f"SELECT lexeme, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{LEX}')) AS lexeme FROM documents) GROUP BY 1",
@@ -251,17 +284,22 @@ ORACLES = {
       FROM (SELECT provenance.source_locator AS l FROM valid) GROUP BY 1""",
     "s19_table_rows": V + r"""SELECT id, count(*) AS n_rows, max(len(string_split(r, '|')) - 2)::INT AS cells
       FROM (SELECT id, unnest(regexp_extract_all(body, '(?m)^\|[^\n]*\|$')) AS r FROM valid) GROUP BY 1""",
-    "a02_bm25_topk": V + f""", docs AS (SELECT id, {_terms("h || chr(10) || coalesce(body, '')")} AS terms, list_distinct({_terms('h')}) AS header
-      FROM (SELECT id, body, coalesce(title, '') || CASE WHEN len(x) > 0 THEN chr(10) || array_to_string(x, chr(10)) ELSE '' END AS h
-        FROM (SELECT *, coalesce(triggers.error_signatures, []) || coalesce(triggers.keywords, []) AS x FROM valid))),
-      totals AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM docs),
-      wanted AS (SELECT case_id AS query_id, unnest(list_distinct({_terms('query_text')})) AS term FROM eval_items WHERE query_text IS NOT NULL),
-      postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
-      df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
-      parts AS (SELECT id, term, CASE WHEN list_contains(header, term) THEN 1.25 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-        / (tf + 1.2 * (0.25 + 0.75 * len(terms) / average)) AS part FROM postings JOIN df USING (term) JOIN docs USING (id), totals),
-      scored AS (SELECT query_id, id, round(sum(part), 6) AS score FROM wanted JOIN parts USING (term) GROUP BY ALL)
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored QUALIFY rank <= 5""",
+    "a02_bm25_topk": V + f""", wanted AS (SELECT case_id AS query_id, unnest(list_distinct({_terms('query_text')})) AS term FROM eval_items WHERE query_text IS NOT NULL),
+      {_scored(_UNIT_DOCS)} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored QUALIFY rank <= 5""",
+    "t03_identifier_parts": f"""WITH r AS (SELECT raw, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?i){LEX}')) AS raw FROM documents) GROUP BY 1)
+      SELECT raw, n, array_to_string({_parts('raw')}, ' ') AS parts FROM r WHERE len({_parts('raw')}) > 0""",
+    "q01_graded_query": V + "," + _STATUS + f""", wanted AS (SELECT case_id AS query_id, unnest(list_distinct({_terms_with_parts('query_text')})) AS term FROM eval_items WHERE query_text IS NOT NULL),
+      {_scored(_UNIT_DOCS, terms=_terms_with_parts)}, w AS (SELECT query_id, s.id, tier, a.status AS status, a.open_keys,
+        round(s.score * (CASE WHEN tier = 'L4' THEN 0.55::DOUBLE ELSE 1.0 END * CASE WHEN starts_with(domain_path, 'serving') THEN 1.1::DOUBLE ELSE 1.0 END), 6) AS score
+        FROM scored s JOIN valid v ON v.id = s.id JOIN applied a ON a.id = s.id
+        WHERE coalesce(v.status, 'active') NOT IN ('archived', 'superseded', 'suspect') AND a.status <> 'mismatch')
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM w QUALIFY rank <= 5""",
+    "a12_known_item_eval": V + f""", asked AS (SELECT * FROM valid WHERE {_PICKED} AND title IS NOT NULL),
+      wanted AS (SELECT id AS query_id, unnest(list_distinct({_terms_with_parts('title')})) AS term FROM asked), {_scored(_UNIT_DOCS, terms=_terms_with_parts)},
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10),
+      h AS (SELECT a.id, r.rank FROM asked a LEFT JOIN r ON r.query_id = a.id AND r.id = a.id)
+      SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1,
+        round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1 / rank, 0.0)), 6) AS mrr FROM h""",
     "f01_applicability": V + "," + _STATUS + "SELECT * FROM applied",
     "a03_exclusions": V + "," + _STATUS + "SELECT coalesce(valid.status, 'active') AS unit_status, applied.status AS status, count(*) AS units FROM applied JOIN valid USING (id) GROUP BY ALL",
     "j04_unusable_ancestors": _TREE + "," + _VALID.replace("valid AS", "full_rows AS") + """
