@@ -28,6 +28,8 @@ BLOCK = 1024
 SLAB = 64
 #: Classes to verify up to which their keys are broadcast, not shuffled.
 BROADCAST_ROWS = 200_000
+#: Copies of a body that meet the other side under one key.
+SPREAD = 1024
 
 FEATURES = "id string, revision bigint, class bigint, bands array<bigint>, sketch binary"
 
@@ -278,13 +280,21 @@ def similar_classes(units: DataFrame, similarity: float = SIMILARITY, block: int
     return members.select("id", "class"), stages.keep(pairs)
 
 
-def similar_pairs(units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All pairs of ids (id_a < id_b) of ``similar_classes``, copies expanded: as many rows as there are pairs."""
+def similar_pairs(units: DataFrame, similarity: float = SIMILARITY, spread: int = SPREAD) -> DataFrame:
+    """All pairs of ids (id_a < id_b) of ``similar_classes``, copies expanded: as many rows as there are pairs.
+
+    A class of more than ``spread`` copies is no single key: its rows meet the other side in parts of about that
+    many, which the other side's rows are sent to each.
+    """
     members, pairs = similar_classes(units, similarity)
-    left = members.select(F.col("id").alias("x"), F.col("class").alias("a"))
+    parts = members.groupBy("class").agg(F.ceil(F.count("*") / spread).cast("int").alias("parts"))
+    large = members.join(parts.where("parts > 1"), "class", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = large.select(F.col("id").alias("x"), F.col("class").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
     right = members.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y")
-    copies = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    copies = left.join(large.select(F.col("id").alias("y"), F.col("class").alias("a"), every), ["a", "part"]).where("x < y").select("x", "y")
+    sent = pairs.join(parts.withColumnRenamed("class", "a"), "a").select("a", "b", every)
+    across = sent.join(right, "b").join(left.drop("parts"), ["a", "part"]).select("x", "y")
     return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

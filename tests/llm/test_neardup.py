@@ -75,7 +75,8 @@ def test_a_third_of_all_rows_are_copies(spark):
     groups = {r["id"]: (r["group"], r["links"]) for r in n.similar_groups(units(spark, data)).collect()}
     assert len(groups) == 181 and len({groups[f"c{i:03}"] for i in range(60)} | {groups["near"]}) == 1
     assert groups["near"][1] == 1 and groups["r1"][1] == 0
-    assert n.similar_pairs(units(spark, data)).count() == 61 * 60 // 2
+    want = sorted({tuple(sorted((x, y))) for x in list(groups) for y in list(groups) if x < y and groups[x][0] == groups[y][0]})
+    assert rows(n.similar_pairs(units(spark, data), spread=7)) == want == rows(n.similar_pairs(units(spark, data))) and len(want) == 61 * 60 // 2
 
 
 def test_defined_cases(spark):
