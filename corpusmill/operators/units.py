@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.clean import clean_id
-from corpusmill.functions.text import normal_trigger, token_estimate
+from corpusmill.functions.text import normal_trigger
 
 
 def valid_units(units: DataFrame, *columns: str) -> DataFrame:
     """id, revision and the given columns (all, if none is given) of valid rows: of each id the one with the highest revision.
 
     Equal revisions: the greater values of these columns. Null ids are ignored. Name the columns: only
-    they are read and shuffled.
+    they are read and shuffled. Where a query needs no more of a text than a digest, a size or a count, take that
+    first and name it instead of the text.
     """
     columns = columns or tuple(c for c in units.columns if c not in ("id", "revision"))
     return (
@@ -113,9 +114,10 @@ def rule_key(*, body_only: bool = False) -> Column:
 
 
 def duplicate_rules(units: DataFrame) -> DataFrame:
-    """Groups of units with the same rule: rule, units, first_id, variants (distinct provenances), disposition."""
+    """Groups of units (id, rule of ``rule_key``, provenance) with the same rule: rule, units, first_id, variants (distinct
+    provenances), disposition."""
     provenance = F.to_json("provenance")
-    groups = units.select("id", rule_key().alias("rule"), F.coalesce(provenance, F.lit("")).alias("provenance"))
+    groups = units.select("id", "rule", F.coalesce(provenance, F.lit("")).alias("provenance"))
     return (
         groups.groupBy("rule")
         .agg(F.count("*").alias("units"), F.min("id").alias("first_id"), F.countDistinct("provenance").alias("variants"))
@@ -148,8 +150,13 @@ def trigger_classes(units: DataFrame) -> DataFrame:
     )
 
 
+def with_size(units: DataFrame) -> DataFrame:
+    """The units with ``bytes`` of their body, 0 for a null one."""
+    return units.withColumn("bytes", F.octet_length(F.coalesce("body", F.lit(""))))
+
+
 def shard_metrics(units: DataFrame) -> DataFrame:
-    """kind (leaf, subtree, federation), path, units, bytes, estimated_tokens: one pass, each unit counted at each level.
+    """Of units with domain_path and bytes: kind (leaf, subtree, federation), path, units, bytes, estimated_tokens: one pass, each unit counted at each level.
 
     A path's parts are those of ``domain_path``; the subtree is the path without its last part where it has
     three, else its first two; null and empty paths count as '.'.
@@ -162,8 +169,7 @@ def shard_metrics(units: DataFrame) -> DataFrame:
         F.struct(F.lit("subtree").alias("kind"), name(subtree).alias("path")),
         F.struct(F.lit("federation").alias("kind"), name(F.slice("parts", 1, 1)).alias("path")),
     )
-    body = F.coalesce("body", F.lit(""))
-    rows = units.select(parts.alias("parts"), F.octet_length(body).alias("bytes"), token_estimate(body).alias("tokens"))
+    rows = units.select(parts.alias("parts"), "bytes", F.ceil(F.col("bytes") / 4).alias("tokens"))
     return (
         rows.select(F.explode(levels).alias("level"), "bytes", "tokens")
         .groupBy("level.kind", "level.path")

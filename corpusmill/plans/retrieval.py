@@ -61,8 +61,9 @@ def t15_line_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t18_repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    parts = u.valid_units(table(spark, d, "graded_units"), "body").where("body is not null").select("id", F.split("body", "\n\n").alias("p"))
-    return parts.select("id", F.size("p").alias("paragraphs"), F.size(F.array_distinct("p")).alias("kept")).where("kept < paragraphs")
+    p = F.split("body", "\n\n")
+    counted = table(spark, d, "graded_units").select("id", "revision", F.when(p.isNotNull(), F.size(p)).alias("paragraphs"), F.size(F.array_distinct(p)).alias("kept"))
+    return u.valid_units(counted, "paragraphs", "kept").where("kept < paragraphs").select("id", "paragraphs", "kept")
 
 
 def t19_error_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +77,9 @@ def t23_normal_triggers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t24_body_digests(spark: SparkSession, d: str) -> DataFrame:
-    rows = u.valid_units(table(spark, d, "graded_units"), "body", "content_sha256").where("body is not null")
-    return rows.select("id", F.sha2("body", 256).alias("digest"), F.coalesce(F.sha2("body", 256) == F.lower("content_sha256"), F.lit(False)).alias("as_delivered"))
+    digests = table(spark, d, "graded_units").withColumn("digest", F.sha2("body", 256))
+    rows = u.valid_units(digests, "digest", "content_sha256").where("digest is not null")
+    return rows.select("id", "digest", F.coalesce(F.col("digest") == F.lower("content_sha256"), F.lit(False)).alias("as_delivered"))
 
 
 def t27_locators(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +88,10 @@ def t27_locators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s19_table_rows(spark: SparkSession, d: str) -> DataFrame:
-    units = u.valid_units(table(spark, d, "graded_units"), "body")
-    rows = units.select("id", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^\|[^\n]*\|$"), F.lit(0))).alias("row"))
-    cells = F.size(F.split("row", r"\|")) - 2
-    return rows.groupBy("id").agg(F.count("*").alias("n_rows"), F.max(cells).alias("cells"))
+    found = F.regexp_extract_all("body", F.lit(r"(?m)^\|[^\n]*\|$"), F.lit(0))
+    cells = F.array_max(F.transform(found, lambda r: F.size(F.split(r, r"\|")) - 2))
+    counted = table(spark, d, "graded_units").select("id", "revision", F.size(found).cast("bigint").alias("n_rows"), cells.alias("cells"))
+    return u.valid_units(counted, "n_rows", "cells").where("n_rows > 0").select("id", "n_rows", "cells")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -153,19 +155,21 @@ def j04_unusable_ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a04_duplicate_rules(spark: SparkSession, d: str) -> DataFrame:
-    return u.duplicate_rules(u.valid_units(table(spark, d, "graded_units"), "body", "conditions", "tier", "category", "evidence_strength", "inherits_from", "provenance")).drop("rule")
+    rules = table(spark, d, "graded_units").withColumn("rule", u.rule_key())
+    return u.duplicate_rules(u.valid_units(rules, "rule", "provenance")).drop("rule")
 
 
 def a05_shared_rules(spark: SparkSession, d: str) -> DataFrame:
-    valid = u.valid_units(table(spark, d, "graded_units"), "body", "conditions")
-    groups = valid.groupBy(u.rule_key(body_only=True).alias("rule")).agg(F.count("*").alias("occurrences"), F.min("id").alias("first_id"))
+    valid = u.valid_units(table(spark, d, "graded_units").withColumn("rule", u.rule_key(body_only=True)), "rule")
+    groups = valid.groupBy("rule").agg(F.count("*").alias("occurrences"), F.min("id").alias("first_id"))
     total = valid.agg(F.count("*").alias("units"))
     joined = groups.where("occurrences > 1").join(F.broadcast(total))  # one row
     return joined.select("first_id", "occurrences", F.round(F.col("occurrences") / F.col("units"), 6).alias("ratio"))
 
 
 def a06_shard_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return u.shard_metrics(u.valid_units(table(spark, d, "graded_units"), "domain_path", "body"))
+    sized = u.with_size(table(spark, d, "graded_units"))
+    return u.shard_metrics(u.valid_units(sized, "domain_path", "bytes"))
 
 
 def a08_tiers_by_path(spark: SparkSession, d: str) -> DataFrame:

@@ -79,7 +79,7 @@ def test_duplicate_rules_and_trigger_classes(spark):
         ("d", None, None, None, None, None, None, None, None, ""),
     ]
     frame = spark.createDataFrame(data, schema)
-    assert [r[1:] for r in rows(u.duplicate_rules(frame))] == [(2, "a", 2, "other_source")]
+    assert [r[1:] for r in rows(u.duplicate_rules(frame.withColumn("rule", u.rule_key())))] == [(2, "a", 2, "other_source")]
     assert rows(u.trigger_classes(frame)) == [("bias e1 lane", 3, "a", 2)]
-    got = {(k, p): n for k, p, n, *_ in rows(u.shard_metrics(frame))}
+    got = {(k, p): n for k, p, n, *_ in rows(u.shard_metrics(u.with_size(frame)))}
     assert got["subtree", "x/y/z"] == 1 and got["subtree", "x/y"] == 1 and got["leaf", "."] == 2 and got["federation", "x"] == 2
