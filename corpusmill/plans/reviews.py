@@ -46,7 +46,8 @@ def w07_budget(spark: SparkSession, d: str) -> DataFrame:
     """Of each query's twenty best units those that fit a budget, taken in order of rank; one that does not fit is skipped."""
     valid = u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body")
     ranked = ranking.top_k(ranking.bm25(ranking.header_text(valid), _queries(spark, d), parts=False), 20)
-    sizes = valid.select("id", t.token_estimate(F.coalesce("body", F.lit(""))).cast("bigint").alias("tokens"))
+    tokens = t.token_estimate(F.coalesce("body", F.lit(""))).cast("bigint")
+    sizes = u.valid_units(table(spark, d, "graded_units").withColumn("tokens", tokens), "tokens").select("id", "tokens")
     lists = ranked.join(sizes, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "tokens"))).alias("rows"))
     state = "struct<taken: array<string>, used: bigint>"
     start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(0).cast("bigint").alias("used")).cast(state)
