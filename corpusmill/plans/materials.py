@@ -10,6 +10,7 @@ from corpusmill.functions.clean import clean_id
 from corpusmill.io import table
 from corpusmill.operators import materials as m, ranking, state as st, units as u
 from corpusmill.operators.hierarchy import closure
+from corpusmill.plans import retrieval
 from corpusmill.plans.general import _TREE, SPACE
 from corpusmill.plans.retrieval import _PICKED, _STATUS, _UNIT_DOCS, _VALID, OBSERVED, V, _queries, _scored, _terms
 from corpusmill.plans.state import A, B, _ATT
@@ -240,6 +241,19 @@ def m50_charged(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("domain_path", "own", F.coalesce("parents", F.lit(0)).cast("bigint").alias("parents"))
 
 
+def w03_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Of each domain and category the anchor (highest revision, then id) and the two members next to it."""
+    w = Window.partitionBy("domain_path", "category").orderBy(F.desc("revision"), "id")
+    rows = _units(spark, d, "domain_path", "category").withColumn("place", F.row_number().over(w)).where("place <= 3")
+    return rows.select("domain_path", "category", "id", (F.col("place") == 1).alias("anchor"), "place")
+
+
+def l04_merge_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """The two hundred largest classes of units with the same trigger words and different conditions, as a list to look at."""
+    rows = u.trigger_classes(_units(spark, d, "triggers", "conditions"))
+    return rows.orderBy(F.desc("units"), "first_id").limit(200).select("first_id", "units", "condition_sets")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -247,6 +261,7 @@ QUERIES = {
         f13_cards, f14_inherited, j22_retired, j23_rebased, w08_even_shares, m02_documents, m03_blocks_of_failures, m04_indexed,
         m05_unreferenced, m44_remedies, j19_two_policies, a15_sound_tasks, a19_stacks, a22_published, f12_allowed_paths,
         f15_domain_catalog, j16_failing_scope, s18_sections, s13_manifest, m47_unit_faults, m50_charged,
+        w03_anchors, l04_merge_reviews,
     )
 }
 
@@ -267,6 +282,9 @@ _HITS = f""", phrases AS (SELECT DISTINCT {_NORMAL.format('k')} AS phrase, domai
   hits AS (SELECT DISTINCT query_id, phrase FROM asked JOIN (SELECT DISTINCT phrase FROM phrases WHERE phrase <> '') ON contains(' ' || {_NORMAL.format('query')} || ' ', ' ' || phrase || ' '))"""
 _OUT = "('superseded', 'archived')"
 ORACLES = {
+    "w03_anchors": V + """SELECT domain_path, category, id, place = 1 AS anchor, place FROM (SELECT domain_path, category, id,
+      row_number() OVER (PARTITION BY domain_path, category ORDER BY revision DESC NULLS LAST, id)::INT AS place FROM valid QUALIFY place <= 3)""",
+    "l04_merge_reviews": "SELECT first_id, units, condition_sets FROM (" + retrieval.ORACLES["j10_trigger_classes"] + ") ORDER BY units DESC, first_id LIMIT 200",
     "q04_material_search": f"WITH {_WANTED}, " + _scored(_BLOCK_DOCS) + """, best AS (SELECT query_id, split_part(id, '/', 1) AS task_id, split_part(id, '/', 2) AS block_id, score FROM scored
       QUALIFY row_number() OVER (PARTITION BY query_id, split_part(id, '/', 1) ORDER BY score DESC, split_part(id, '/', 2)) = 1)
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, task_id)::INT AS rank FROM best QUALIFY rank <= 5""",
