@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.functions.clean import clean_id
-from corpusmill.io import table
+from corpusmill.io import table, texts
 from corpusmill.operators import ranking, units as u
 from corpusmill.operators.hierarchy import closure
 from corpusmill.plans.general import _TREE, SPACE
@@ -118,10 +118,11 @@ def q01_graded_query(spark: SparkSession, d: str) -> DataFrame:
 
 def a12_known_item_eval(spark: SparkSession, d: str) -> DataFrame:
     """Titles of every fiftieth unit (by a digest of its id) as queries, over all units."""
-    valid = u.valid_units(table(spark, d, "graded_units"), "title", "triggers", "body")
-    asked = valid.where(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("int") % 50 == 0).where("title is not null")
+    source = texts(spark, d, "graded_units")
+    valid = u.valid_units(source, "title", "triggers", "body")
+    asked = u.valid_units(source, "title").where(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("int") % 50 == 0).where("title is not null")
     queries = asked.select(F.col("id").alias("query_id"), F.col("title").alias("query"))
-    ranked = ranking.top_k(ranking.bm25(ranking.header_text(valid), queries), 10)
+    ranked = ranking.best_units(ranking.header_text(valid), queries, 10)
     return ranking.known_item_metrics(ranked, asked.select(F.col("id").alias("query_id"), "id"))
 
 

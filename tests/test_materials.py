@@ -104,3 +104,35 @@ def test_bm25_is_the_same_with_spread_terms(spark):
     assert few == rows(bm25(corpus, queries))
     assert [r[:2] for r in few] == [(1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "b"), (2, "d")]
     assert bm25(corpus.limit(0), queries).count() == 0 and bm25(corpus, queries.limit(0)).count() == 0
+
+
+def test_best_units_are_the_top_of_bm25(spark):
+    from corpusmill.operators.ranking import best_units, bm25, top_k
+
+    units = [(f"u{i:03}", ["red stock", "blueKey_red", None, "stock of 7"][i % 4], f"stock the key {'red ' * (i % 5)}{'中文字' * (i % 3)} n{i % 7}") for i in range(60)]
+    units += [("none", None, None), ("empty", "", "")]
+    corpus = spark.createDataFrame(units, "id string, header string, body string").repartition(3)
+    asked = [(f"u{i:03}", f"the {'stock ' * (i % 2)}red n{i % 7} 中文 blueKey") for i in range(0, 60, 7)] + [("a", "absent"), ("b", ""), ("c", None), ("d", "stock")]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    for parts in (True, False):
+        want = rows(top_k(bm25(corpus, queries, parts), 4).select("query_id", "id", "score", "rank"))
+        assert len(want) == 4 * 10
+        for limit in (200_000, 30):
+            assert rows(best_units(corpus, queries, 4, parts, limit).select("query_id", "id", "score", "rank")) == want
+    assert best_units(corpus.limit(0), queries, 4).count() == 0 and best_units(corpus, queries.limit(0), 4).count() == 0
+
+
+def test_best_units_sends_no_row_for_each_pair():
+    """60 equal queries against 4,000 units in 8 blocks that all hold the term: 240,000 pairs, 60 * 8 * 3 rows at most."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusmill.operators.ranking import _best, _postings
+
+    docs = [pa.RecordBatch.from_pydict({"id": [f"u{j + i:04}" for i in range(500)], "terms": [["x"] * (1 + i % 9) for i in range(500)], "header": [["x"]] * 500}) for j in range(0, 4000, 500)]
+    asked = SimpleNamespace(value=(pa.array([f"q{i}" for i in range(60)]), [[0]] * 60, np.array([0.1]), 5.0))
+    postings = list(_postings(SimpleNamespace(value=pa.array(["x"])))(iter(docs)))
+    got = [b.num_rows for b in _best(asked, 3, block=500)(iter(postings))]
+    assert 60 * 3 <= sum(got) <= 60 * 8 * 3
