@@ -1,5 +1,8 @@
 """Blocks, phrases and dependent results: nulls, empty texts, ties, repeats and empty tables."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import materials as m
@@ -136,3 +139,13 @@ def test_best_units_sends_no_row_for_each_pair():
     postings = list(_postings(SimpleNamespace(value=pa.array(["x"])))(iter(docs)))
     got = [b.num_rows for b in _best(asked, 3, block=500)(iter(postings))]
     assert 60 * 3 <= sum(got) <= 60 * 8 * 3
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["a12_known_item_eval", "l03_related_units"])
+def test_queries_that_grow_with_the_units_make_no_pairs(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from corpusmill.operators import ranking
+
+    monkeypatch.setattr(ranking, "bm25", lambda *_, **__: pytest.fail("a row for each pair of title and unit"))
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
