@@ -35,15 +35,23 @@ FEATURES = "id string, revision bigint, class bigint, bands array<bigint>, sketc
 
 
 _RANDOM = np.random.default_rng(5)
-_FACTOR = _RANDOM.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SUMMAND = _RANDOM.integers(0, 1 << 63, BITS, dtype=np.uint64)
+_FACTOR = _RANDOM.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SUMMAND = _RANDOM.integers(0, 1 << 32, BITS, dtype=np.uint32)
+#: Values of this many sequences stand in one buffer, which fits a core's cache.
+_AT_ONCE = 128
+_VALUES = np.empty((_AT_ONCE, BITS), np.uint32)
 
 
 def minima(sequences: np.ndarray) -> np.ndarray:
-    """The least value of BITS random functions over the sequences."""
-    out = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(sequences), 256):
-        out = np.minimum(out, (sequences[i : i + 256, None] * _FACTOR + _SUMMAND).min(axis=0))
+    """The least value of BITS random functions over the sequences: 32 bits, of the sequences' upper ones."""
+    short = (sequences >> np.uint64(32)).astype(np.uint32)[:, None]
+    out = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), _AT_ONCE):
+        part = short[i : i + _AT_ONCE]
+        values = _VALUES[: len(part)]
+        np.multiply(part, _FACTOR, out=values)
+        np.add(values, _SUMMAND, out=values)
+        np.minimum(out, values.min(axis=0), out=out)
     return out
 
 
@@ -51,28 +59,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordIds()
     golden = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        rows = []
+        held, classes, least = [], [], []
         for body in batch.column(2).to_pylist():
             ids = words.of(body) if body else ()
-            if len(ids) < LEAST_WORDS:
-                rows.append((None, None, None))
-                continue
-            least = minima(grams(ids, GRAM))
-            key = np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                key = mix(key * golden + least[r * BANDS : (r + 1) * BANDS])
-            sketch = np.packbits((mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little")
-            rows.append((text_value(ids), key.view(np.int64).tolist(), sketch.tobytes()))
-        cols = list(zip(*rows)) or [[], [], []]
+            held.append(len(ids) >= LEAST_WORDS)
+            if held[-1]:
+                classes.append(text_value(ids))
+                least.append(minima(grams(ids, GRAM)))
+        rows = np.array(least, np.uint64).reshape(-1, BITS)
+        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(rows), 1))
+        for r in range(ROWS):
+            key = mix(key * golden + rows[:, r * BANDS : (r + 1) * BANDS])
+        sketch = np.packbits((mix(rows) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little")
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).ravel()))
+        held = np.array(held, bool)
+        place = pa.array(np.cumsum(held) - 1, mask=~held)  # null for those that are no cases
+        columns = (pa.array(classes, pa.int64()), bands, pa.array([x.tobytes() for x in sketch], pa.binary()))
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(cols[0], pa.int64()),
-                pa.array(cols[1], pa.list_(pa.int64())),
-                pa.array(cols[2], pa.binary()),
-            ],
-            names=["id", "revision", "class", "bands", "sketch"],
+            [batch.column(0), batch.column(1), *(c.take(place) for c in columns)], names=["id", "revision", "class", "bands", "sketch"]
         )
 
 

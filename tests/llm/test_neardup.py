@@ -90,3 +90,18 @@ def test_defined_cases(spark):
     assert rows(n.similar_pairs(units(spark, []))) == [] and rows(n.similar_groups(units(spark, []))) == []
     with pytest.raises(ValueError):
         n.similar_classes(units(spark, []), 0.3)
+
+
+def test_minima_of_32_bits_meet_as_often_as_texts_agree():
+    """Equal minima stand for the share of common sequences, and 300 pairs at one half all share a bucket key."""
+    from corpusmill.llm.neardup import BANDS, ROWS, minima
+
+    rng, shares = np.random.default_rng(3), []
+    for _ in range(300):
+        x = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+        a, b = minima(x[:300]), minima(x[100:])  # 200 in both of 400
+        assert a.dtype == np.uint32
+        shares.append((a == b).mean())
+        same = (a == b)[: BANDS * ROWS].reshape(ROWS, BANDS)
+        assert same.all(axis=0).any()
+    assert abs(np.mean(shares) - 0.5) < 0.01 and np.std(shares) < 0.05
