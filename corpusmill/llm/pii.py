@@ -31,9 +31,11 @@ PHONE = re.compile(
     r"|0\d{2} \d{4} \d{4}|0\d(?: \d\d){4}|0\d{2,3}[ -]\d{4}[ -]?\d{4}|\(0\d{2,3}\) ?\d{4} ?\d{4}|1[3-9]\d[ -]\d{4}[ -]\d{4})"
     r"(?!\d|[.-]\d|[A-Za-z_])"
 )
-SOCIAL = re.compile(r"(?<![A-Za-z0-9_.,+/#-])\d{3}([ -])\d{2}\1\d{4}(?![A-Za-z0-9_]|[.,-]\d)")
-RESIDENT = re.compile(r"(?<![A-Za-z0-9])\d{17}[\dXx](?![A-Za-z0-9])")
-PASSPORT = re.compile(r"(?<![A-Za-z0-9_/.-])(?:[A-Z]{1,2}\d{7,8}|[A-Z]\d[A-Z]{2}\d{5})(?![A-Za-z0-9_/-])")
+# A pattern that begins with a character class is searched for by it: what must not stand before is looked at behind the first
+# character, and where several patterns may begin (STARTS), the places are found first, see ``_hits``.
+SOCIAL = re.compile(r"\d(?<![A-Za-z0-9_.,+/#-]\d)\d{2}([ -])\d{2}\1\d{4}(?![A-Za-z0-9_]|[.,-]\d)")
+RESIDENT = re.compile(r"\d(?<![A-Za-z0-9]\d)\d{16}[\dXx](?![A-Za-z0-9])")
+PASSPORT = re.compile(r"[A-Z](?<![A-Za-z0-9_/.-][A-Z])(?:[A-Z]?\d{7,8}|\d[A-Z]{2}\d{5})(?![A-Za-z0-9_/-])")
 _S = r"(?:[ \t]+|[ \t]*\r?\n[ \t]*)"
 _STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Close|Row"
 _CITY = r"[A-ZÄÖÜ][A-Za-zäöüß]+(?:-[A-Z][A-Za-z]+)*"
@@ -63,7 +65,15 @@ LOOSE = {
     "email": re.compile(r"(?<![\w.@/+-])[A-Za-z0-9][\w.+-]{0,63} ?(?:@|[\[(](?i:at)[\])]) ?[A-Za-z0-9][\w.-]{0,250}[A-Za-z0-9](?![\w@-])"),
     "phone": re.compile(r"(?<![\w.+-])[+(]?\d(?:[ ()./-]{0,2}\d){6,14}(?![\w-]|\.\d)"),
     "id_number": re.compile(r"(?<![\w/.-])(?=(?:[A-Z -]{0,5}\d){5})[A-Z0-9]{2,18}(?:[ -][A-Z0-9]{2,8}){0,3}(?![\w/-]|\.\d)"),
-    "address": re.compile(r"(?<![\w./-])\d{1,5}[A-Za-z]? (?:[A-Z][\w'’-]*,? ){1,5}[A-Z][\w'’-]+(?:,? [A-Z]{2})? ?\d{4,5}(?!\w)"),
+    "address": re.compile(r"\d(?<![\w./-]\d)\d{0,4}[A-Za-z]? (?:[A-Z][\w'’-]*,? ){1,5}[A-Z][\w'’-]+(?:,? [A-Z]{2})? ?\d{4,5}(?!\w)"),
+}
+#: By pattern, the characters it may begin with, where none stands before that it excludes.
+STARTS = {
+    PHONE: re.compile(r"[+(\d](?<![A-Za-z0-9_.+/#-][+(\d])"),
+    ADDRESS: re.compile(r"[\dA-ZÄÖÜ](?<![A-Za-z0-9_][\dA-ZÄÖÜ])"),
+    NAME: re.compile(r"[A-ZÀ-ÖØ-Þ](?<![\w/.@-][A-ZÀ-ÖØ-Þ])"),
+    LOOSE["phone"]: re.compile(r"[+(\d](?<![\w.+-][+(\d])"),
+    LOOSE["id_number"]: re.compile(r"[A-Z0-9](?<![\w/.-][A-Z0-9])"),
 }
 #: Characters before a name by which copies of a text are told.
 AROUND = 80
@@ -164,6 +174,19 @@ class Spans:
             self.found.insert(i, (a, b, kind))
 
 
+def _hits(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """The matches that ``finditer`` gives, tried at the pattern's STARTS only."""
+    start = STARTS.get(pattern)
+    if not start:
+        yield from pattern.finditer(text)
+        return
+    done = 0
+    for s in start.finditer(text):
+        if s.start() >= done and (m := pattern.match(text, s.start())):
+            yield m
+            done = m.end()
+
+
 def _written(text: str) -> bool:
     """Whether a text holds anything that every spelling of an email address needs."""
     low = text.lower()
@@ -181,11 +204,11 @@ def shaped(text: str) -> Spans:
             spans.add("id_number", *m.span())
     for m in PASSPORT.finditer(text):
         spans.add("id_number", *m.span())
-    for m in ADDRESS.finditer(text):
+    for m in _hits(ADDRESS, text):
         spans.add("address", *m.span())
     for m in HAN_ADDRESS.finditer(text) if "市" in text else ():
         spans.add("address", max(m.start(), m.end(1) - 3), m.end())
-    for m in PHONE.finditer(text):
+    for m in _hits(PHONE, text):
         spans.add("phone", *m.span())
     for m in SOCIAL.finditer(text):
         spans.add("id_number", *m.span())
@@ -345,14 +368,14 @@ def _scan(model):
                     rows.append((*head, kind, text[a:b], a, b, None, None, left, right, True, None, city, None))
                 written = _written(plain)
                 for kind, pattern in LOOSE.items():
-                    for m in pattern.finditer(plain) if kind != "email" or written else ():
+                    for m in _hits(pattern, plain) if kind != "email" or written else ():
                         a, b = m.span()
                         if spans.free(a, b):
                             left, right, _ = context(plain, a, b, at, ends)
                             if any(c.isalpha() for c in left):
                                 rows.append((*head, kind, text[a:b], a, b, None, None, left, right, False, None, None, None))
                 names = [
-                    (m.start(1), m.end(1), *((m[5], m[2]) if m[4] else (m[2], m[5]))) for m in NAME.finditer(plain)
+                    (m.start(1), m.end(1), *((m[5], m[2]) if m[4] else (m[2], m[5]))) for m in _hits(NAME, plain)
                 ]
                 for m in HAN_RUN.finditer(plain) if family else ():
                     names += [(i, j, plain[i:j], "") for i, j in _places(plain, *m.span(), starts, stops, family, given)]

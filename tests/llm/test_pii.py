@@ -141,3 +141,19 @@ def test_defined_cases(spark):
 def test_check_digits():
     assert pii.resident_number("99645219911022558X") and not pii.resident_number("996452199113225580")
     assert not pii.resident_number("264540976877432198")
+
+
+def test_patterns_tried_at_their_starts_find_all_matches():
+    """Every pattern finds what it finds from each place of the text, whatever stands before."""
+    import random
+
+    from corpusmill.llm import pii
+
+    bits = ["12 Main Street, Berlin 10115", "+49 (0)30 1234567", "(030) 123 4567", "AB1234567", "123-45-6789", "Lindenallee 4, 10115 Köln", "Anna Meier",
+            "A1BC12345", "٣", "11010519491231002X", "7 Low Row 12345", "1", "X", "-", ".", "/", "_", "#", "+", "(", " ", "\n", "Ö", "中"]
+    rng = random.Random(1)
+    assert pii.STARTS
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        for pattern in (pii.PHONE, pii.ADDRESS, pii.NAME, *pii.LOOSE.values()):
+            assert [m.span() for m in pii._hits(pattern, text)] == [m.span() for m in pattern.finditer(text)], text
