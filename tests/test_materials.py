@@ -141,11 +141,11 @@ def test_best_units_sends_no_row_for_each_pair():
     assert 60 * 3 <= sum(got) <= 60 * 8 * 3
 
 
-@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test data")
 @pytest.mark.parametrize("name", ["a12_known_item_eval", "l03_related_units"])
 def test_queries_that_grow_with_the_units_make_no_pairs(spark, monkeypatch, name):
     import __spark_entry__ as entry
     from corpusmill.operators import ranking
 
     monkeypatch.setattr(ranking, "bm25", lambda *_, **__: pytest.fail("a row for each pair of title and unit"))
-    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert entry.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
