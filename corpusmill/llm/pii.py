@@ -11,13 +11,14 @@ from itertools import chain
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.io import Stages, texts
 
 # Spellings of addresses, telephone numbers, identity numbers and street addresses.
 FULL_WIDTH = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20}
+WIDE = re.compile("[\uff01-\uff5e\u3000]")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.| ?[\[(](?i:dot)[\])] ?| (?i:dot) )"
 _LOCAL = r"(?<![A-Za-z0-9._%+/-])[A-Za-z0-9][A-Za-z0-9._%+-]*"
@@ -31,8 +32,7 @@ PHONE = re.compile(
     r"|0\d{2} \d{4} \d{4}|0\d(?: \d\d){4}|0\d{2,3}[ -]\d{4}[ -]?\d{4}|\(0\d{2,3}\) ?\d{4} ?\d{4}|1[3-9]\d[ -]\d{4}[ -]\d{4})"
     r"(?!\d|[.-]\d|[A-Za-z_])"
 )
-# A pattern that begins with a character class is searched for by it: what must not stand before is looked at behind the first
-# character, and where several patterns may begin (STARTS), the places are found first, see ``_hits``.
+# Where these patterns may begin is looked up in an outline of the text first, see STARTS and ``_hits``.
 SOCIAL = re.compile(r"\d(?<![A-Za-z0-9_.,+/#-]\d)\d{2}([ -])\d{2}\1\d{4}(?![A-Za-z0-9_]|[.,-]\d)")
 RESIDENT = re.compile(r"\d(?<![A-Za-z0-9]\d)\d{16}[\dXx](?![A-Za-z0-9])")
 PASSPORT = re.compile(r"[A-Z](?<![A-Za-z0-9_/.-][A-Z])(?:[A-Z]?\d{7,8}|\d[A-Z]{2}\d{5})(?![A-Za-z0-9_/-])")
@@ -53,11 +53,12 @@ HAN_ADDRESS = re.compile(
 _W = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]{2,})(?:[-'’][A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
 NAME = re.compile(rf"(?<![\w/.@-])(?=(({_W})((?: [A-ZÀ-ÖØ-Þ]\.)*)(,?) ({_W})(?![\w@])))")
 HAN_SEED = re.compile(r"[:：] ?([㐀-鿿]{2,4})[ \t]*\r?\n")
+WIDE_SEED = re.compile(r"[:：][ \u3000]?[㐀-鿿]{2,4}[ \t\u3000]*\r?\n")  # the same where spaces may be full-width
 HAN_CITY = re.compile(r"(?<![㐀-鿿])([㐀-鿿]{2,5}市)[㐀-鿿]{1,6}[区县][㐀-鿿]{1,8}?(?:路|街|大道|巷|弄|道|胡同) ?\d+ ?号")
 NEAR = re.compile(r"\w+|[^\w\s]|\n")
 BEFORE, AFTER = re.compile(r"([^\W\d_]+)[^\w\n|]*\Z"), re.compile(r"[^\w\n|]*([^\W\d_]+)")
 
-HAN_RUN = re.compile(r"[㐀-鿿]{2,}")
+HAN_RUN, HAN_TWO = re.compile(r"[㐀-鿿]{2,}"), re.compile(r"[㐀-鿿]{2}")
 BEFORE_CITY = re.compile(r"([㐀-鿿]{2,9}市)\Z")
 
 # Loose forms of identifiers, of which only those come out that stand where known ones stand.
@@ -67,14 +68,33 @@ LOOSE = {
     "id_number": re.compile(r"(?<![\w/.-])(?=(?:[A-Z -]{0,5}\d){5})[A-Z0-9]{2,18}(?:[ -][A-Z0-9]{2,8}){0,3}(?![\w/-]|\.\d)"),
     "address": re.compile(r"\d(?<![\w./-]\d)\d{0,4}[A-Za-z]? (?:[A-Z][\w'’-]*,? ){1,5}[A-Z][\w'’-]+(?:,? [A-Z]{2})? ?\d{4,5}(?!\w)"),
 }
-#: By pattern, the characters it may begin with, where none stands before that it excludes.
+#: A text's outline has a byte for each character: 0 for digits, A and a for ASCII letters, E and e for those of Latin-1, a space
+#: for what ``_S`` takes, ' for ’, ? for what else is beyond Latin-1 and the character itself for others.
+OUTLINE = bytes(
+    ord("0") if chr(c).isdecimal() else 32 if chr(c) in " \t\r\n" else c if not chr(c).isalpha()
+    else ord("aAeE"[2 * (c > 127) + chr(c).isupper()]) for c in range(256)
+)
+#: Digits that an outline does not show.
+ODD_DIGIT = re.compile(r"[^\D0-9]")
+_MANY = rb"(?=(?:[ ()./-]{0,2}0){%d})"
+_STREET_NO = rb"0{0,4}[aA]? +A[aA'-]* +[aA?]"
+#: By pattern, parts of outlines one of which it needs, and what an outline has where it may begin. Each of those begins
+#: with one byte, which is found fast, and takes no more, as places may overlap.
 STARTS = {
-    PHONE: re.compile(r"[+(\d](?<![A-Za-z0-9_.+/#-][+(\d])"),
-    ADDRESS: re.compile(r"[\dA-ZÄÖÜ](?<![A-Za-z0-9_][\dA-ZÄÖÜ])"),
-    NAME: re.compile(r"[A-ZÀ-ÖØ-Þ](?<![\w/.@-][A-ZÀ-ÖØ-Þ])"),
-    LOOSE["phone"]: re.compile(r"[+(\d](?<![\w.+-][+(\d])"),
-    LOOSE["id_number"]: re.compile(r"[A-Z0-9](?<![\w/.-][A-Z0-9])"),
+    RESIDENT: ((b"0" * 17,), (rb"0(?<![aA0]0)(?=0{16})",)),
+    PASSPORT: ((b"A0000000", b"A0AA00000"), (rb"A(?<![aA0_/.-]A)(?=A?0{7}|0AA0{5})",)),
+    SOCIAL: ((b"000-00-0000", b"000 00 0000"), (rb"0(?<![aA0_.,+/#-]0)(?=00[ -]00[ -]0000)",)),
+    ADDRESS: (
+        (b"0 ", b"0a ", b"0A "),
+        (rb"0(?<![aA0_./-]0)(?=%b)" % _STREET_NO, *(b"%b(?<![aA0_]%b)" % (c, c) + rb"(?=[aAeE]+(?:\?[aAeE]*){0,3}\.? +0{1,4}a?,? +00000 )" for c in (b"A", b"E"))),
+    ),
+    PHONE: ((b"00",), tuple(b"%b(?<![aA0_.+/#-]%b)" % (c, c) + _MANY % 5 for c in (b"0", rb"\+", rb"\("))),
+    NAME: ((b" A", b" E"), tuple(b"%b(?<![aAeE0_/.@-]%b)" % (c, c) + rb"(?=[aAeE'-]+(?: [AE]\.)*,? [AE])" for c in (b"A", b"E"))),
+    LOOSE["phone"]: ((b"0",), tuple(b"%b(?<![aA0_.+-]%b)" % (c, c) + _MANY % 6 for c in (b"0", rb"\+", rb"\("))),
+    LOOSE["id_number"]: ((b"0",), (rb"0(?<![aA0_/.-]0)(?=[A0])(?=(?:[A -]{0,5}0){4})", rb"A(?<![aA0_/.-]A)(?=[A0])(?=[A -]{0,4}0(?:[A -]{0,5}0){4})")),
+    LOOSE["address"]: ((b"0 A", b"0a A", b"0A A"), (rb"0(?<![aA0_./-]0)(?=0{0,4}[aA]? A)",)),
 }
+STARTS = {p: (needs, [re.compile(x) for x in places]) for p, (needs, places) in STARTS.items()}
 #: Characters before a name by which copies of a text are told.
 AROUND = 80
 #: Scores are taken by turns until none moves by more.
@@ -135,11 +155,20 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
 
 
-def text_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Every text that may hold personal information: record_table, record_id, part, text."""
+def _chinese(c: str) -> Column:
+    """Whether a text holds a Chinese character. One of ASCII only is as long in bytes as in characters, which is told sooner."""
+    return (F.octet_length(c) > F.char_length(c)) & F.col(c).rlike(r"[\x{3400}-\x{9FFF}]")
+
+
+def text_parts(spark: SparkSession, d: str, chinese: bool = False) -> DataFrame:
+    """Every text that may hold personal information: record_table, record_id, part, text. Of documents, only those that may hold
+    Chinese where CHINESE."""
     units = texts(spark, d, "graded_units").select(F.lit("graded_units"), "id", F.lit("body"), "body")
     findings = texts(spark, d, "findings").select(F.lit("findings"), F.col("finding_id").cast("string"), F.lit("value"), "value")
-    docs = texts(spark, d, "entries").where("doc is not null").select("entry_id", "doc").mapInArrow(_values, PARTS)
+    docs = texts(spark, d, "entries").where("doc is not null").select("entry_id", "doc")
+    if chinese:
+        docs = docs.where(_chinese("doc") | (F.contains("doc", F.lit("\\u")) & F.col("doc").rlike(r"\\u[3-9]")))
+    docs = docs.mapInArrow(_values, PARTS)
     names = ["record_table", "record_id", "part", "text"]
     parts = units.toDF(*names).union(findings.toDF(*names)).union(docs)
     return parts.where("text is not null and text != ''")
@@ -174,43 +203,74 @@ class Spans:
             self.found.insert(i, (a, b, kind))
 
 
-def _hits(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
-    """The matches that ``finditer`` gives, tried at the pattern's STARTS only."""
-    start = STARTS.get(pattern)
-    if not start:
-        yield from pattern.finditer(text)
-        return
+def _plain(text: str) -> str:
+    """The text with usual characters in place of full-width ones."""
+    if not text.isascii():
+        for c in {*WIDE.findall(text)}:
+            text = text.replace(c, chr(FULL_WIDTH[ord(c)]))
+    return text
+
+
+def _outline(text: str) -> bytes | None:
+    """The text's OUTLINE; none where it would not show all digits."""
+    if not text.isascii() and ODD_DIGIT.search(text):
+        return None
+    return text.replace("’", "'").encode("latin-1", "replace").translate(OUTLINE)
+
+
+def _hits(pattern: re.Pattern, text: str, outline: bytes | None = None) -> Iterator[re.Match]:
+    """The matches that ``finditer`` gives, tried where the text's outline has the pattern's STARTS only."""
+    if pattern not in STARTS or (outline is None and (outline := _outline(text)) is None):
+        return pattern.finditer(text)
+    needs, places = STARTS[pattern]
+    for x in needs:
+        if x in outline:
+            break
+    else:
+        return iter(())
+    found = [m.start() for x in places for m in x.finditer(outline)]
+    return _tried(pattern, text, sorted(found)) if found else iter(())
+
+
+def _tried(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
     done = 0
-    for s in start.finditer(text):
-        if s.start() >= done and (m := pattern.match(text, s.start())):
+    for i in places:
+        if i >= done and (m := pattern.match(text, i)):
             yield m
             done = m.end()
 
 
+def _numbered(outline: bytes | None) -> bool:
+    """Whether a text with that outline holds a digit, which every form but email addresses and names needs."""
+    return outline is None or b"0" in outline
+
+
 def _written(text: str) -> bool:
     """Whether a text holds anything that every spelling of an email address needs."""
     low = text.lower()
     return "@" in low or "at)" in low or "at]" in low or " dot " in low
 
 
-def shaped(text: str) -> Spans:
+def shaped(text: str, outline: bytes | None = None) -> Spans:
     """Spans of a known form, in order of precedence; none overlaps an earlier one. A Chinese address begins with the last
     three characters of its city at most, see ``personal_spans``."""
-    spans = Spans()
+    spans, outline = Spans(), outline or _outline(text)
     for m in EMAIL.finditer(text) if _written(text) else ():
         spans.add("email", *m.span())
-    for m in RESIDENT.finditer(text):
+    if not _numbered(outline):
+        return spans
+    for m in _hits(RESIDENT, text, outline):
         if resident_number(m.group()):
             spans.add("id_number", *m.span())
-    for m in PASSPORT.finditer(text):
+    for m in _hits(PASSPORT, text, outline):
         spans.add("id_number", *m.span())
-    for m in _hits(ADDRESS, text):
+    for m in _hits(ADDRESS, text, outline):
         spans.add("address", *m.span())
     for m in HAN_ADDRESS.finditer(text) if "市" in text else ():
         spans.add("address", max(m.start(), m.end(1) - 3), m.end())
-    for m in _hits(PHONE, text):
+    for m in _hits(PHONE, text, outline):
         spans.add("phone", *m.span())
-    for m in SOCIAL.finditer(text):
+    for m in _hits(SOCIAL, text, outline):
         spans.add("id_number", *m.span())
     return spans
 
@@ -220,12 +280,15 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column(0).to_pylist():
-            plain = text.translate(FULL_WIDTH)
+            placed = "市" in text and "号" in text
+            if not placed and not WIDE_SEED.search(text):
+                continue
+            plain = _plain(text)
             for m in HAN_SEED.finditer(plain):
                 end = plain.find("\n", m.end())
                 if EMAIL.search(plain, m.end(), end if end >= 0 else len(plain)):
                     rows.append(("name", m.group(1)))
-            if "市" in plain:
+            if placed:
                 rows += [("city", m.group(1)) for m in HAN_CITY.finditer(plain)]
         cols = list(zip(*rows)) or [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "value"])
@@ -254,23 +317,29 @@ def _places(text: str, a: int, b: int, starts: set[str], stops: set[str], family
     return sorted(found)
 
 
+def _marks(family: set[str], given: set[str], words: set[str]) -> re.Pattern:
+    """What a Chinese run longer than a name must hold for any candidate: the beginning of a seeded name, or a context's word."""
+    either = lambda x: "".join(sorted(x))
+    return re.compile("|".join([f"[{either(family)}][{either(given)}]", *map(re.escape, sorted(words))]))
+
+
 def _beside(model):
     """The two Chinese characters before and after each name of seeded characters, where such stand there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, given = model.value
+        seeded = re.compile(f"[{''.join(sorted(family))}](?=([{''.join(sorted(given))}]{{1,3}}))")
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                for m in HAN_RUN.finditer(text):
-                    a, b = m.span()
-                    for i, j in _places(text, a, b, set(), set(), family, given):
-                        if text[i] not in family or any(c not in given for c in text[i + 1 : j]):
-                            continue
-                        if i - a >= 2:
-                            rows.append(("L", text[i - 2 : i], text[i:j]))
-                        if b - j >= 2:
-                            rows.append(("R", text[j : j + 2], text[i:j]))
+                for m in seeded.finditer(text):
+                    i = m.start()
+                    before = HAN_TWO.match(text, i - 2, i) if i > 1 else None
+                    for j in range(i + 2, m.end(1) + 1):
+                        if before:
+                            rows.append(("L", before[0], text[i:j]))
+                        if after := HAN_TWO.match(text, j):
+                            rows.append(("R", after[0], text[i:j]))
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["side", "word", "value"])
 
@@ -297,6 +366,17 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def _token_start(text: str, stop: int) -> int:
+    """Where the token of NEAR that ends at STOP begins, within 40 characters; STOP where none ends there."""
+    i = stop - 1
+    if text[i].isalnum() or text[i] == "_":
+        least = max(0, stop - 40)
+        while i > least and (text[i - 1].isalnum() or text[i - 1] == "_"):
+            i -= 1
+        return i
+    return stop if text[i].isspace() and text[i] != "\n" else i
+
+
 def _scan(model):
     def context(text: str, a: int, b: int, at: dict[int, str], ends: dict[int, str]) -> tuple[str, str, bool]:
         """Two tokens on either side; a found address or number is one token."""
@@ -312,14 +392,13 @@ def _scan(model):
             if j == 0:
                 left.append("^")
                 break
-            m = list(NEAR.finditer(text, max(0, j - 40), j))
-            if not m or m[-1].end() != j:
+            i = _token_start(text, j)
+            if i == j:
                 break
-            if m[-1].start() == j - 40:  # longer than that
+            if i == j - 40:  # longer than that
                 left.append("<long>")
                 break
-            left.append(m[-1].group().lower())
-            i = m[-1].start()
+            left.append(text[i:j].lower())
         i = b
         while len(right) < 3:
             while i < len(text) and text[i] in " \t\r":
@@ -345,6 +424,7 @@ def _scan(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, given, sizes, starts, stops = model.value
+        marked = family and _marks(family, given, starts | stops)
 
         def base(name: str) -> float:
             """Of a Chinese name: by characters that seeds have in the same place, and by the share of seeds as long."""
@@ -356,8 +436,9 @@ def _scan(model):
             rows = []
             columns = (batch.column(i).to_pylist() for i in range(5))
             for table, key, part, text, text_key in zip(*columns):
-                plain = text.translate(FULL_WIDTH)
-                spans = shaped(plain)
+                plain = _plain(text)
+                outline = _outline(plain)
+                spans = shaped(plain, outline)
                 head = (table, key, part, text_key)
                 at, ends = {a: k for a, _, k in spans.found}, {b: k for _, b, k in spans.found}
                 for a, b, kind in spans.found:
@@ -366,19 +447,23 @@ def _scan(model):
                     if kind == "address" and (m := BEFORE_CITY.search(plain, max(0, a - 6), min(b, a + 3))):
                         city = m[1]
                     rows.append((*head, kind, text[a:b], a, b, None, None, left, right, True, None, city, None))
-                written = _written(plain)
+                written, numbered = _written(plain), _numbered(outline)
                 for kind, pattern in LOOSE.items():
-                    for m in _hits(pattern, plain) if kind != "email" or written else ():
+                    for m in _hits(pattern, plain, outline) if (written if kind == "email" else numbered) else ():
                         a, b = m.span()
                         if spans.free(a, b):
                             left, right, _ = context(plain, a, b, at, ends)
                             if any(c.isalpha() for c in left):
                                 rows.append((*head, kind, text[a:b], a, b, None, None, left, right, False, None, None, None))
                 names = [
-                    (m.start(1), m.end(1), *((m[5], m[2]) if m[4] else (m[2], m[5]))) for m in _hits(NAME, plain)
+                    (m.start(1), m.end(1), *((m[5], m[2]) if m[4] else (m[2], m[5]))) for m in _hits(NAME, plain, outline)
                 ]
-                for m in HAN_RUN.finditer(plain) if family else ():
-                    names += [(i, j, plain[i:j], "") for i, j in _places(plain, *m.span(), starts, stops, family, given)]
+                for m in HAN_RUN.finditer(plain) if family and not plain.isascii() else ():
+                    a, b = m.span()
+                    if marked.search(plain, a, b):
+                        names += [(i, j, plain[i:j], "") for i, j in _places(plain, a, b, starts, stops, family, given)]
+                    elif b - a <= 4:  # all that ``_places`` gives of a run without a mark
+                        names.append((a, b, m[0], ""))
                 for a, b, first, last in names:
                     if not spans.free(a, b) or (last and shouted(plain, a, b)):
                         continue
@@ -507,7 +592,7 @@ def _with_cities(addresses: DataFrame, cities: DataFrame) -> DataFrame:
     return addresses.join(known, "city", "left")
 
 
-def personal_spans(parts: DataFrame, least: float = 0.5, hidden: float = 0.0) -> DataFrame:
+def personal_spans(parts: DataFrame, least: float = 0.5, hidden: float = 0.0, chinese: DataFrame | None = None) -> DataFrame:
     """Personal information in texts (record_table, record_id, part, text): one row a span.
 
     Result: record_table, record_id, part, text_key (a value of the text), kind, value (as it stands),
@@ -520,17 +605,19 @@ def personal_spans(parts: DataFrame, least: float = 0.5, hidden: float = 0.0) ->
     stands before it, else with three characters. Names: see ``name_scores``; Chinese candidates are 2 to 4
     characters in a context, or of the characters of seeded names: see ``_places``. Of overlapping spans the
     better one stays. ``hidden`` is a share of the values of known form that are taken as loose, to measure
-    how many are found by their contexts.
+    how many are found by their contexts. ``chinese``: those of the texts that may hold Chinese (all that do, whatever others), where
+    they are had for less than by going through all.
 
     Two passes over the texts and two more over Chinese ones; candidates are scored by joins. Null and empty texts give
     nothing. Repeated rows give their spans once.
     """
     spark = parts.sparkSession
     parts = parts.where("text is not null")
+    chinese = (parts if chinese is None else chinese).where(_chinese("text")).select("text")
     stages = Stages(spark, "pii")
     sc = spark.sparkContext
     found = stages.keep(
-        parts.where(r"text rlike '[\\x{3400}-\\x{9FFF}]'").select("text").mapInArrow(_seeds, "kind string, value string")
+        chinese.mapInArrow(_seeds, "kind string, value string")
         .groupBy("kind", "value").agg(F.count("*").alias("n"))
     )
     seeded = found.where("kind = 'name'")
@@ -540,8 +627,7 @@ def personal_spans(parts: DataFrame, least: float = 0.5, hidden: float = 0.0) ->
     sizes = dict(seeded.groupBy(F.length("value")).count().collect())
     sizes = {n: c / sum(sizes.values()) for n, c in sizes.items()}
     beside = (
-        parts.where(r"text rlike '[\\x{3400}-\\x{9FFF}]'").select("text")
-        .mapInArrow(_beside(sc.broadcast((family, given))), "side string, word string, value string")
+        chinese.mapInArrow(_beside(sc.broadcast((family, given))), "side string, word string, value string")
         .groupBy("side", "word").agg(F.countDistinct("value").alias("names")).where("names > 1").select("side", "word").collect()
         if family else []
     )

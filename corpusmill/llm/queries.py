@@ -10,13 +10,13 @@ from corpusmill.llm import bpe, leakage, neardup, pii, reading, split
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    spans = pii.personal_spans(pii.text_parts(spark, d))
+    spans = pii.personal_spans(pii.text_parts(spark, d), chinese=pii.text_parts(spark, d, chinese=True))
     return spans.select("record_table", "record_id", F.col("kind").alias("pii_kind"), F.col("value").alias("pii_value")).distinct()
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     parts = pii.text_parts(spark, d)
-    return pii.redacted(parts, pii.personal_spans(parts))
+    return pii.redacted(parts, pii.personal_spans(parts, chinese=pii.text_parts(spark, d, chinese=True)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

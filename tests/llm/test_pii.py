@@ -157,3 +157,43 @@ def test_patterns_tried_at_their_starts_find_all_matches():
         text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
         for pattern in (pii.PHONE, pii.ADDRESS, pii.NAME, *pii.LOOSE.values()):
             assert [m.span() for m in pii._hits(pattern, text)] == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_outlines_show_where_patterns_begin():
+    """Nothing is tried in plain prose, and every pattern finds what it finds in the whole text."""
+    import random
+
+    bits = ["12a Heron  Way, Highmoor QZ1 6XW", "5 O’Neil \r\nRow, Ulm", "+1 (212) 555-0190", "(030) 123 4567", "030/23125-461", "X8TL04902", "AB1234567",
+            "959 34 9295", "99645219911022558X", "Öhrıng 4a,\n10115 Ulm", "Grünſtraẞe 12 10115 Ä", "ANNA Ö. MÜLLER", "Grynaux, Dora", "O’Neil-Smith J. Élan",
+            "4197-QX-910", "5550 19 77 123", "٣", "²", "1", "23", "X", "aB", "é", "’", "中", "-", ".", "/", "_", "#", "+", "(", " ", "\t", "\r\n", "\xa0"]
+    rng = random.Random(2)
+    assert {pii.RESIDENT, pii.PASSPORT, pii.SOCIAL, pii.LOOSE["address"]} <= {*pii.STARTS}
+    prose = pii._outline("Of 12 runs in 2031 the First took 4 s; see Table 3 (row 17), O’Neil’s notes and 中文 A1.")
+    assert not [x.pattern for _, places in pii.STARTS.values() for x in places if x.search(prose)]
+    assert pii._outline("room ٣") is None
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        for pattern in pii.STARTS:
+            assert [m.span() for m in pii._hits(pattern, text)] == [m.span() for m in pattern.finditer(text)], text
+        j = rng.randint(1, len(text))
+        m = [*pii.NEAR.finditer(text, max(0, j - 40), j)]
+        assert pii._token_start(text, j) == (m[-1].start() if m and m[-1].end() == j else j), text
+
+
+def test_documents_that_may_hold_chinese(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    seeds = [f"联系人：{f}{g}\n邮箱：x@lab.example" for f in "简车" for g in ("岚澄", "舟澄")]
+    write("graded_units", [(f"u{i}", t) for i, t in enumerate(seeds)] + [("v", "Plain é text")], "id string, body string")
+    write("findings", [(1, "今天感谢简岚舟提供的文件。"), (2, None)], "finding_id bigint, value string")
+    docs = [json.dumps({"c": "今天感谢车舟岚提供的文件。"}, ensure_ascii=a) for a in (True, False)]
+    docs += ['{"c": "\\u4ECA', '{"今', '{"c": "caf\\u00e9 é"}', '{"c": "plain"}', None]
+    write("entries", [(f"e{i}", t) for i, t in enumerate(docs)], "entry_id string, doc string")
+    every, some = pii.text_parts(spark, str(tmp_path)), pii.text_parts(spark, str(tmp_path), chinese=True)
+    held = lambda df: rows(df.where(r"text rlike '[\\x{3400}-\\x{9FFF}]'"))
+    assert held(some) == held(every) and len(held(some)) == 9
+    assert {r["record_id"] for r in some.where("record_table = 'entries'").collect()} <= {"e0", "e1", "e2", "e3"}
+    spans = pii.personal_spans(every, chinese=some)
+    assert rows(spans) == rows(pii.personal_spans(every))
+    assert {"简岚舟", "车舟岚"} <= {r["value"] for r in spans.where("kind = 'name'").collect()}
